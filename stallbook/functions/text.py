@@ -25,30 +25,15 @@ def any_of(words: Sequence[str]) -> str:
 def strip_nav_prefix(text: Column, keywords: Sequence[str] = config.NAV_KEYWORDS) -> Column:
     """Drop the leading block of navigation lines and counters.
 
-    The body starts after the last navigation line that precedes the first
-    content line. Lines are classified once; no Python is involved.
+    One block is blank lines followed by a navigation or number line; the body
+    starts after the last such block, and only line feeds are trimmed from it.
+    The quantifiers are possessive, so a block of any length matches in a loop.
     """
-    nav = any_of(keywords)
-
-    def kind(line: Column) -> Column:
-        return (
-            F.when(line.rlike(r"(?U)^\s*\z"), 0)
-            .when(F.lower(line).rlike(nav) | line.rlike(r"(?U)^[\d.,\s]+\z"), 1)
-            .otherwise(2)
-        )
-
-    lines = F.split(text, "\n")
-    kinds = F.transform(lines, kind)
-    first_content = F.array_position(kinds, 2)
-    lead = F.when(first_content > 0, first_content - 1).otherwise(F.size(lines)).cast("int")
-    last_nav = F.array_max(
-        F.transform(
-            F.slice(kinds, F.lit(1), F.greatest(lead, F.lit(0))),
-            lambda k, i: F.when(k == 1, i + 1).otherwise(0),
-        )
-    )
-    kept = F.slice(lines, F.coalesce(last_nav, F.lit(0)) + 1, F.size(lines))
-    return F.regexp_replace(F.array_join(kept, "\n"), r"^\n+", "")
+    blank = r"(?:[^\S\n]*+\n)*+"
+    navigation = r"[^\n]*(?:" + any_of(keywords) + r")[^\n]*+"
+    number = r"[^\S\n]*+[\d.,](?:[\d.,]|[^\S\n])*+"
+    block = f"{blank}(?:{navigation}|{number}(?=\\n|\\z))(?:\\n|\\z)"
+    return F.regexp_replace(text, f"(?iU)\\A(?:(?:{block})++\\n*+|\\n++)", "")
 
 
 def main_description(text: Column, marker: str = config.SIMILAR_ADS_MARKER) -> Column:
