@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 VARIANTS = "array<variant>"
 
 
+_END = "\u241e end \u241e"
+
+
+def _closed(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+
+
+def _only(listed: Column) -> Column:
+    ends = F.try_variant_get(listed, "$[1]", "string") == _END
+    alone = F.try_variant_get(listed, "$[2]", "variant").isNull()
+    return F.when(ends & alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def whole_json(text: Column) -> Column:
-    """The text as one JSON value, NULL when anything else surrounds it.
+    """The text as one JSON value, NULL when anything else follows it.
 
-    The parser stops after the first value and ignores what follows. Inside an
-    array and inside an object the rest has to close differently, so only a
-    text that is exactly one value passes both.
+    The parser stops after the first value and ignores the rest. So the text
+    goes into a list in front of a marker: only a text that is exactly one value
+    leaves the marker in second place.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
+    return _only(_closed(text))
+
+
+def with_json(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``whole_json`` as a column. Two steps, so that each text is parsed once."""
+    return df.withColumn(out, _closed(F.col(text))).withColumn(out, _only(F.col(out)))
 
 
 def kind(v: Column) -> Column:

@@ -20,58 +20,16 @@ _FIRST_LIST = r"(?s)(\[.*?\])"
 _FIRST_OBJECT = r"(?s)(\{.*?\})"
 
 
-def _structured(v: Column) -> Column:
-    """Non-empty ``events`` list, else the top-level list, else the object itself."""
-    events = jsons.field(v, "events", VARIANTS)
-    return (
-        F.when(jsons.kind(v) == "ARRAY", jsons.elements(v))
-        .when(F.size(events) > 0, events)
-        .when(jsons.kind(v) == "OBJECT", F.array(v))
-    )
-
-
-def _free(v: Column) -> Column:
-    """Like ``_structured``, but an empty ``events`` list means no events."""
-    events = jsons.field(v, "events", VARIANTS)
-    return (
-        F.when(jsons.kind(v) == "ARRAY", jsons.elements(v))
-        .when(events.isNotNull(), events)
-        .when(jsons.kind(v) == "OBJECT", F.array(v))
-    )
-
-
-def _plain(v: Column) -> Column:
-    return F.when(jsons.kind(v) == "ARRAY", jsons.elements(v)).when(
-        jsons.kind(v) == "OBJECT", F.array(v)
-    )
-
-
-def _found(raw: Column, pattern: str) -> Column:
-    """First match as JSON; only the first match is tried."""
-    return jsons.whole_json(F.regexp_extract(raw, pattern, 1))
+def _starts(text: str, char: str) -> Column:
+    """A text that is valid JSON is a list or an object by its first character."""
+    return F.left(F.col(text), F.lit(1)) == char
 
 
-def structured_items(raw: Column) -> Column:
-    return _structured(jsons.whole_json(strip(raw)))
-
-
-def text_items(raw: Column) -> Column:
-    """Whole text, fenced block, first list, first object: the first that parses."""
-    text = strip(raw)
-    return F.coalesce(
-        _free(jsons.whole_json(text)),
-        _plain(_found(text, _FENCED)),
-        _plain(_found(text, _FIRST_LIST)),
-        _plain(_found(text, _FIRST_OBJECT)),
-    )
-
-
-def legacy_items(raw: Column) -> Column:
-    """First-generation rule: lists only, no ``events`` wrapper."""
-    text = strip(raw)
-    return F.coalesce(
-        _plain(jsons.whole_json(text)), _plain(_found(text, _FENCED_LIST)),
-        _plain(_found(text, _FIRST_LIST)),
+def _list_of(text: str, value: str) -> Column:
+    """A list as it is, an object as a list of one."""
+    v = F.col(value)
+    return F.when(_starts(text, "["), jsons.elements(v)).when(
+        _starts(text, "{") & v.isNotNull(), F.array(v)
     )
 
 
@@ -80,81 +38,105 @@ def split_events(
 ) -> DataFrame:
     """One row per raw event: adds ``event_no``, ``event`` (VARIANT) and ``failure``.
 
+    The whole text counts first: its ``events`` list, its own list, or the object.
+    A structured answer with an empty ``events`` list counts as the object. Free
+    text then tries its fenced block, its first list and its first object, one
+    match each. ``legacy`` knows lists only and no ``events`` wrapper.
+
     ``failure`` holds the reason when the response gave nothing usable; the row
-    is kept and becomes a default event. A valid empty list gives no row.
+    is kept and becomes a default event. A valid empty list gives no row. Every
+    text is parsed once, in steps, and a later step only where the earlier ones
+    found nothing.
     """
-    blank = F.coalesce(strip(F.col(raw)) == "", F.lit(True))
+    is_structured = F.lit(False) if legacy else structured
+    df = responses.withColumns({"_text": strip(F.col(raw)), "_strict": is_structured})
+    df = jsons.with_json(df, "_text", "_json")
+    whole = _list_of("_text", "_json")
+    if not legacy:
+        df = df.withColumn("_events", jsons.field(F.col("_json"), "events", VARIANTS))
+        wrapped = F.when(~F.col("_strict") | (F.size("_events") > 0), F.col("_events"))
+        whole = F.coalesce(F.when(_starts("_text", "{"), wrapped), whole)
+    df = df.withColumn("_items", whole)
+    for pattern in (_FENCED_LIST, _FIRST_LIST) if legacy else (_FENCED, _FIRST_LIST, _FIRST_OBJECT):
+        open_rows = F.col("_items").isNull() & ~F.col("_strict")
+        df = df.withColumn("_part", F.when(open_rows, F.regexp_extract("_text", pattern, 1)))
+        df = jsons.with_json(df, "_part", "_json")
+        df = df.withColumn("_items", F.coalesce(F.col("_items"), _list_of("_part", "_json")))
+    items = F.when(F.col("_text") != "", F.col("_items"))
     if legacy:
-        items = legacy_items(F.col(raw))
         items = F.when(F.size(items) > 0, items)
         reason = F.lit(config.REASON_LEGACY)
     else:
-        items = F.when(structured, structured_items(F.col(raw))).otherwise(text_items(F.col(raw)))
-        reason = F.when(blank, config.REASON_EMPTY).otherwise(
-            F.when(structured, config.REASON_STRUCTURED).otherwise(config.REASON_TEXT)
+        reason = (
+            F.when(F.coalesce(F.col("_text") == "", F.lit(True)), config.REASON_EMPTY)
+            .when(F.col("_strict"), config.REASON_STRUCTURED)
+            .otherwise(config.REASON_TEXT)
         )
-    items = F.when(~blank, items)
-    prepared = responses.withColumn("_items", items).withColumn(
+    df = df.withColumn("_items", items).withColumn(
         "failure", F.when(F.col("_items").isNull(), reason)
     )
-    usable = F.coalesce(
-        F.col("_items"), F.array(F.lit(None).cast("variant"))
-    )
-    kept = [c for c in prepared.columns if c != "_items"]
-    return prepared.select(*kept, F.posexplode(usable).alias("event_no", "event"))
+    usable = F.coalesce("_items", F.array(F.lit(None).cast("variant")))
+    return df.select(*responses.columns, "failure", F.posexplode(usable).alias("event_no", "event"))
+
+
+_EVENT_STRUCT = (
+    "struct<event_name:string,event_date:string,venue:string,city:string,category:string,"
+    "quantity:variant,ask_total:variant,is_unit_price:variant,ref_price:variant,"
+    "confidence:string,confidence_reason:variant>"
+)
 
 
 def coerce_events(df: DataFrame, event: str = "event", failure: str = "failure") -> DataFrame:
-    """Typed event columns from a VARIANT; unknown keys drop, missing keys default."""
-    e = F.col(event)
-    is_object = F.coalesce(jsons.kind(e) == "OBJECT", F.lit(False))
+    """Typed event columns from a VARIANT; unknown keys drop, missing keys default.
 
-    def text(name: str) -> Column:
-        return F.when(is_object, jsons.field(e, name))
+    One cast takes all fields out of an object; anything else casts to NULL.
+    """
+    rest = [c for c in df.columns if c not in (event, failure)]
+    fields = df.withColumn("_o", F.try_variant_get(event, "$", _EVENT_STRUCT))
+    mixed = ("quantity", "ask_total", "is_unit_price", "ref_price")
+    read = fields.select(
+        *rest, failure, "_o",
+        *[jsons.kind(F.col(f"_o.{c}")).alias(f"_kind_{c}") for c in mixed],
+        *[F.try_variant_get(f"_o.{c}", "$", "string").alias(f"_text_{c}") for c in mixed],
+        F.try_variant_get("_o.confidence_reason", "$", "string").alias("_reason"),
+    )
 
-    def kind(name: str) -> Column:
-        return jsons.kind(jsons.field(e, name, "variant"))
+    def is_text(name: str) -> Column:
+        return F.col(f"_kind_{name}") == "STRING"
 
     def number(name: str) -> Column:
-        simple = kind(name).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN")
-        return F.when(is_object & simple, jsons.field(e, name, "double")).when(
-            is_object & (kind(name) == "STRING"), strict_double(jsons.field(e, name))
+        return F.when(is_text(name), strict_double(F.col(f"_text_{name}"))).otherwise(
+            F.try_variant_get(f"_o.{name}", "$", "double")
         )
 
-    def whole(name: str) -> Column:
-        # a JSON number is truncated, a text must be a plain integer
-        return F.when(
-            is_object & (kind(name) == "STRING"), strict_int(jsons.field(e, name))
-        ).otherwise(number(name).try_cast("int"))
-
-    flag_text = F.lower(text("is_unit_price"))
-    flag = F.when(kind("is_unit_price") == "BOOLEAN", jsons.field(e, "is_unit_price", "boolean")).when(
-        kind("is_unit_price") == "STRING",
+    # a JSON number is truncated, a text must be a plain integer
+    quantity = F.when(is_text("quantity"), strict_int(F.col("_text_quantity"))).otherwise(
+        F.try_variant_get("_o.quantity", "$", "double").try_cast("int")
+    )
+    flag_text = F.lower("_text_is_unit_price")
+    flag = F.when(
+        is_text("is_unit_price"),
         F.when(flag_text.isin("true", "ja", "yes"), True).when(
             flag_text.isin("false", "nein", "no"), False
         ),
+    ).when(
+        F.col("_kind_is_unit_price") == "BOOLEAN", F.try_variant_get("_o.is_unit_price", "$", "boolean")
     )
-    confidence, category = text("confidence"), text("category")
-    stated_reason = jsons.field(e, "confidence_reason", "variant").isNotNull()
-    values = {
-        "event_name": text("event_name"),
-        "event_date": text("event_date"),
-        "venue": text("venue"),
-        "city": text("city"),
+    category, confidence = F.col("_o.category"), F.col("_o.confidence")
+    values = {c: F.col(f"_o.{c}") for c in ("event_name", "event_date", "venue", "city")} | {
         "category": F.when(category.isin(*config.CATEGORIES), category).otherwise("Unbekannt"),
-        "quantity": whole("quantity"),
+        "quantity": quantity,
         "ask_total": number("ask_total"),
-        "is_unit_price": F.when(is_object, flag),
+        "is_unit_price": flag,
         "ref_price": number("ref_price"),
         "confidence": F.when(confidence.isin(*config.CONFIDENCES), confidence).otherwise(
             config.LOW_CONFIDENCE
         ),
-        "confidence_reason": F.when(is_object & stated_reason, text("confidence_reason")).otherwise(
-            F.coalesce(F.col(failure), F.lit(config.REASON_DEFAULT))
-        ),
+        # stated as null stays NULL, not stated takes the default
+        "confidence_reason": F.when(F.col("_o.confidence_reason").isNotNull(), F.col("_reason"))
+        .otherwise(F.coalesce(failure, F.lit(config.REASON_DEFAULT))),
     }
-    rest = [c for c in df.columns if c not in (event, failure)]
-    return df.select(*rest, *[values[c].alias(c) for c in EVENT_COLUMNS])
+    return read.select(*rest, *[values[c].alias(c) for c in EVENT_COLUMNS])
 
 
 def check_unit_price(events: DataFrame) -> DataFrame:
