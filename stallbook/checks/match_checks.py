@@ -331,13 +331,13 @@ def results(spark, sf_dir):
         (k % 1000 / 1000).alias("total"), F.lit("wikidata").alias("source"),
     )
     return unique_listings(spark, sf_dir).where(k % 2 == 0).select(
-        F.when(k % 10 == 0, F.concat(F.lit("x"), F.col("listing_id"))).otherwise(F.col("listing_id")).alias("listing_id"),
+        F.when(k % 14 == 0, F.concat(F.lit("x"), F.col("listing_id"))).otherwise(F.col("listing_id")).alias("listing_id"),
         F.lit(config.LIKELY).alias("status"), F.array(F.lit("wikidata")).alias("sources_confirmed"), F.lit(AS_OF).alias("verif_on"),
         F.when(k % 6 != 0, best).alias("best"),
     )
 
 
-WRITTEN_SQL = f"""{LISTINGS_SQL}, {UNIQUE_SQL}, hit AS (SELECT *, CAST(listing_id AS BIGINT) % 2 = 0 AND CAST(listing_id AS BIGINT) % 10 <> 0 AS w,
+WRITTEN_SQL = f"""{LISTINGS_SQL}, {UNIQUE_SQL}, hit AS (SELECT *, CAST(listing_id AS BIGINT) % 2 = 0 AND CAST(listing_id AS BIGINT) % 14 <> 0 AS w,
   CAST(listing_id AS BIGINT) AS k FROM uniq),
 written AS (SELECT listing_id, CASE WHEN w THEN 'wahrscheinlich' ELSE verif_status END AS verif_status,
   CASE WHEN w THEN 'wikidata' ELSE coalesce(array_to_string(verif_sources, '; '), '') END AS verif_sources,
@@ -355,7 +355,7 @@ def write_back(spark, sf_dir):
     )
 
 
-@check("match_unknown_ids", f"WITH {LISTINGS_SQL}, {UNIQUE_SQL} SELECT 'x' || listing_id AS listing_id FROM uniq WHERE CAST(listing_id AS BIGINT) % 10 = 0")
+@check("match_unknown_ids", f"WITH {LISTINGS_SQL}, {UNIQUE_SQL} SELECT 'x' || listing_id AS listing_id FROM uniq WHERE CAST(listing_id AS BIGINT) % 14 = 0")
 def unknown_ids(spark, sf_dir):
     return M.unknown_ids(unique_listings(spark, sf_dir), results(spark, sf_dir))
 

@@ -152,13 +152,14 @@ def best_matches(
 
     pairs = similar_names(names(q, "left_key"), names(c, "right_key"), min_score)
 
-    any_day, any_city = dt.date(1, 1, 1), ""
+    # stand for "whatever day" and "whatever city" in the classes below
+    any_day, any_city = F.lit("0001-01-01").cast("date"), F.lit("")
     keyed = c.withColumns(
         {
             "days": F.array_distinct(
-                F.array(F.lit(any_day), F.coalesce("event_date", F.lit(any_day)))
+                F.array(any_day, F.coalesce("event_date", any_day))
             ),
-            "cities": F.array_distinct(F.array(F.lit(any_city), F.col("c_city"))),
+            "cities": F.array_distinct(F.array(any_city, F.col("c_city"))),
         }
     )
     classes = (
@@ -176,13 +177,13 @@ def best_matches(
             F.when(k == 0, 1.0).otherwise(0.5).alias("date_score"),
         ),
     )
-    no_day = F.array(F.struct(F.lit(any_day).alias("day"), F.lit(0.0).alias("date_score")))
+    no_day = F.array(F.struct(any_day.alias("day"), F.lit(0.0).alias("date_score")))
     days = F.when(F.col("event_date").isNull(), no_day).otherwise(F.concat(no_day, near))
     # a city matches few others; the list is bounded by the distinct city names
     cities = city_pairs(queries, candidates).groupBy("q_city").agg(
         F.collect_list(F.struct("c_city", "city_score")).alias("matched")
     )
-    no_city = F.array(F.struct(F.lit(any_city).alias("c_city"), F.lit(0.0).alias("city_score")))
+    no_city = F.array(F.struct(any_city.alias("c_city"), F.lit(0.0).alias("city_score")))
     probes = (
         q.join(cities, "q_city", "left")
         .withColumn("towns", F.when(F.col("matched").isNull(), no_city).otherwise(
