@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stallbook.functions.casting import strict_date, strict_double, strict_int
-from stallbook.operators.dashboard import OPTIONAL, prepare
+from stallbook.functions.pricing import fill_unit_ask
+from stallbook.operators.dashboard import OPTIONAL
 from stallbook.operators.pages import first_wins
 from stallbook.schemas import DASHBOARD_HEADERS, HEADER_TO_COLUMN, RAW_AD
 
@@ -112,8 +113,8 @@ def load_listings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
         (F.lit(None).cast(t) if c not in have else F.col(c) if have[c] == t else _typed(F.col(c), t)).alias(c)
         for c, t in types.items()
     ]
-    filled = prepare(named.select(*columns))
-    return filled.withColumn("ask_unit", F.col("unit").cast("double")).drop("unit", "side", "event_key")
+    unit = fill_unit_ask(F.col("ask_unit"), F.col("ask_total"), F.col("quantity"))
+    return named.select(*columns).withColumn("ask_unit", unit)
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
