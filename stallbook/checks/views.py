@@ -11,7 +11,15 @@ SCANS_AS_OF = dt.date(2024, 1, 31)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. The large ones are single row groups, which one task would read
+    and carry through the whole query: when a scan has fewer splits than cores its
+    rows are spread. A table with enough splits is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("lineitem", "orders", "events", "documents", "pages") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def _day(c):
