@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from stallbook import config
 from stallbook.checks.catalogue import Catalogue
-from stallbook.checks.match_checks import UNIQUE_SQL
+from stallbook.checks.match_checks import SEARCHED_SQL, UNIQUE_SQL
+from stallbook.checks.response_checks import ONE_AD_SQL
+from stallbook.checks.text_checks import PROVIDER_SQL
 from stallbook.checks.views import (
     AS_OF, LISTINGS_SQL, SCANS_SQL, listings, part_venues, scans, table,
 )
@@ -100,6 +102,11 @@ def last_of(snapshot: str) -> str:
       FROM listings WHERE snapshot = '{snapshot}') WHERE rk = 1"""
 
 
+def last_of_table(table_name: str) -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY s1 DESC, s2 DESC, s3 DESC) AS rk
+      FROM {table_name}) WHERE rk = 1"""
+
+
 MERGE_SQL = f"""{LISTINGS_SQL},
 e AS (SELECT *, CASE WHEN l_suppkey % 4 <> 0 THEN ref_price END AS e_ref, CAST(s1 AS DATE) AS day, unit_c / 100.0 AS unit,
   CASE WHEN l_suppkey % 11 = 0 THEN 'verkauft' ELSE 'aktiv' END AS e_status, CASE WHEN l_suppkey % 13 <> 0 THEN unit_c / 100.0 END AS e_price,
@@ -322,7 +329,21 @@ def run_inputs(spark, sf_dir):
     )
 
 
-@check("state_full_run")
+RUN_SQL = f"""WITH {ONE_AD_SQL}, {PROVIDER_SQL}, {SEARCHED_SQL}, facts AS ({last_of_table('offers')}),
+parsed AS (SELECT w.id AS listing_id, f.event_name, f.event_date, w.offered, CASE WHEN w.offered THEN 'hoch' ELSE 'niedrig' END AS confidence
+  FROM wanted w JOIN facts f ON f.listing_id = w.id),
+e AS ({last_of('F')}), found AS (SELECT p.*, CASE WHEN event_name LIKE 'red%' THEN 49.9 ELSE h.price END AS price FROM parsed p LEFT JOIN hits h USING (event_name)),
+after AS (SELECT coalesce(p.listing_id, e.listing_id) AS listing_id, CASE WHEN p.listing_id IS NULL THEN e.event_date WHEN p.offered THEN
+    CASE WHEN p.event_date < DATE '1998-12-01' AND year(p.event_date) IN (1998, 1997) AND p.event_date + INTERVAL 1 YEAR > DATE '1998-12-01'
+      THEN p.event_date + INTERVAL 1 YEAR ELSE p.event_date END END AS d FROM parsed p FULL JOIN e ON e.listing_id = p.listing_id)
+SELECT 'parsed' AS action, count(*) AS n FROM parsed UNION ALL SELECT 'ref_found', count(price) FILTER (offered) FROM found
+UNION ALL SELECT 'inserted', count(*) FROM parsed WHERE listing_id NOT IN (SELECT listing_id FROM e)
+UNION ALL SELECT 'updated', count(*) FROM parsed WHERE listing_id IN (SELECT listing_id FROM e)
+UNION ALL SELECT 'review_added', count(*) FROM parsed WHERE confidence = 'niedrig' AND CAST(listing_id AS BIGINT) % 9 <> 0
+UNION ALL SELECT 'archived', count(*) FROM after WHERE d < DATE '1998-11-01'"""
+
+
+@check("state_full_run", RUN_SQL)
 def full_run(spark, sf_dir):
     from stallbook.checks.response_checks import CHAIN
 

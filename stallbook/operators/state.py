@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stallbook import config
+from stallbook.functions import pricing
 from stallbook.functions.keys import strip
 from stallbook.operators.dashboard import is_clean_row
 from stallbook.operators.enrich import enrich
@@ -23,6 +24,7 @@ from stallbook.operators.pages import first_wins
 from stallbook.schemas import LISTING_TYPES, REVIEW_COLUMNS
 
 KEY = ("listing_id",)
+SCAN_KEEP = config.SCAN_POLICY.keep + config.HISTORY_COLUMNS
 
 
 def _not_blank(key: str) -> Column:
@@ -90,12 +92,22 @@ def fold_prices(scans: DataFrame, seq: str = "seq") -> DataFrame:
     days. Scans reduce to one price per day first: the list that is folded is
     bounded by the calendar, however often a listing was seen.
     """
-    days = daily_prices(scans, seq)
-    start = F.lit(None).cast(PRICE_STATE)
+    history = F.array_sort(F.collect_list(F.struct("scan_date", "ask_unit")))
+    return (
+        daily_prices(scans, seq)
+        .groupBy("listing_id")
+        .agg(history.alias("history"))
+        .select("listing_id", _fold(F.col("history"), F.lit(None).cast(PRICE_STATE)).alias("s"))
+        .select("listing_id", "s.*")
+    )
+
 
-    def merge(s: Column, x: Column) -> Column:
+def _fold(history: Column, start: Column) -> Column:
+    """``start`` (a PRICE_STATE, NULL for a new listing) after the days of ``history``."""
+
+    def step(s: Column, x: Column) -> Column:
         day, price = x["scan_date"], x["ask_unit"]
-        step = price_step(
+        moved = price_step(
             s["price_current"], s["price_changed_on"], s["first_seen"], s["price_prev7"],
             s["price_changes"], price, day,
         )
@@ -106,17 +118,11 @@ def fold_prices(scans: DataFrame, seq: str = "seq") -> DataFrame:
         ).cast(PRICE_STATE)
         old = F.struct(
             s["first_seen"].alias("first_seen"), day.alias("last_seen"),
-            (s["scan_count"] + 1).alias("scan_count"), *[c.alias(k) for k, c in step.items()],
+            (s["scan_count"] + 1).alias("scan_count"), *[c.alias(k) for k, c in moved.items()],
         ).cast(PRICE_STATE)
         return F.when(s.isNull(), new).otherwise(old)
 
-    history = F.array_sort(F.collect_list(F.struct("scan_date", "ask_unit")))
-    return (
-        days.groupBy("listing_id")
-        .agg(history.alias("history"))
-        .select("listing_id", F.aggregate("history", start, merge).alias("s"))
-        .select("listing_id", "s.*")
-    )
+    return F.aggregate(history, start, step)
 
 
 # --- merges --------------------------------------------------------------------------------
@@ -282,6 +288,56 @@ def apply_scan(
     return merge_history(existing, batch, review, scan_date, keys=keys)
 
 
+def merge_scans(
+    existing: DataFrame,
+    scans: DataFrame,
+    review: DataFrame,
+    venues: DataFrame,
+    last_day: dt.date,
+    keys: Sequence[str] = KEY,
+    seq: str = "seq",
+    grace_days: int = config.INACTIVE_GRACE_DAYS,
+) -> Merge:
+    """Several scan days at once: the result of ``apply_scan`` day after day, in one merge.
+
+    ``scans`` has a ``scan_date``. The rows of a key reduce to its last per day;
+    its days fold over the stored price state, and its last row gives the rest.
+    """
+    rows = scans
+    for k in keys:
+        rows = rows.where(_not_blank(k))
+    daily = first_wins(rows, [*keys, "scan_date"], F.col(seq).desc())
+    unit = pricing.unit_ask(F.col("ask_total"), F.col("quantity"), F.col("is_unit_price"))
+    days = daily.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("scan_date", unit.alias("ask_unit")))).alias("_days")
+    )
+    low = first_wins(daily.where(F.col("confidence") == config.LOW_CONFIDENCE), list(keys), F.col("scan_date"))
+    latest = first_wins(daily, list(keys), F.col("scan_date").desc()).drop(seq)
+    batch = enrich(latest, venues, last_day).withColumn("watchlist", F.lit("nein"))
+    plain = config.MergePolicy(keep=SCAN_KEEP)
+    merged = _merged(existing, batch, plain)
+    in_e, in_b = F.col("e").isNotNull(), F.col("b").isNotNull()
+    start = F.when(
+        in_e,
+        F.struct(
+            "e.first_seen", "e.last_seen", F.coalesce("e.scan_count", F.lit(0)).alias("scan_count"),
+            "e.price_current", "e.price_prev7", "e.price_changes", "e.price_changed_on",
+        ).cast(PRICE_STATE),
+    )
+    joined = _both(existing, batch.join(days, list(keys)), keys).withColumn(
+        "_s", F.when(in_b, _fold(F.col("b._days"), start))
+    )
+    for c in config.HISTORY_COLUMNS:
+        if c != "status":
+            merged[c] = F.when(in_b, F.col(f"_s.{c}")).otherwise(F.col(f"e.{c}"))
+    gone = F.datediff(F.lit(last_day), F.col("_s.last_seen")) >= grace_days
+    merged["status"] = F.when(in_b, F.when(gone, config.INACTIVE).otherwise(config.ACTIVE)).otherwise(
+        inactive_status(F.col("e.status"), F.col("e.last_seen"), F.lit(False), last_day, grace_days)
+    )
+    out = joined.select(*[v.alias(k) for k, v in merged.items()], _action().alias("action"))
+    return Merge(out, review_additions(low, review))
+
+
 def inactive_status(
     status: Column, last_seen: Column, seen: Column, scan_date: dt.date,
     grace_days: int = config.INACTIVE_GRACE_DAYS, sold_is_final: bool = True,

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from stallbook import config
 from stallbook.functions.keys import event_key
 from stallbook.operators.pages import first_wins
-from stallbook.operators.state import apply_scan, conform
+from stallbook.operators.state import conform, merge_scans
 from stallbook.schemas import LISTING, RAW_AD
 from stallbook.sources.tables import read_store
 
@@ -100,23 +100,16 @@ def merge_each(
 
     The snapshot of batch n is built from the one of batch n-1 and written to
     its own folder: a batch that is repeated after a failure gives the same
-    snapshot. Scan days within a batch are merged one after the other; their
-    number is bounded by the calendar.
+    snapshot. All scan days of a batch go into one merge.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         table = read_store(spark, snapshot_path(folder, batch_id - 1), LISTING)
         review = table.where("needs_review").select("listing_id")
-        days = [r[0] for r in batch.select("scan_date").distinct().orderBy("scan_date").collect()]
-        for i, day in enumerate(days):
-            rows = batch.where(F.col("scan_date") == F.lit(day)).drop("scan_date")
-            merged = conform(apply_scan(table, rows, review, venues, day, keys).table)
-            last = i == len(days) - 1
-            path = snapshot_path(folder, batch_id) + ("" if last else f"-day={i}")
-            merged.write.mode("overwrite").parquet(path)
-            table = spark.read.schema(LISTING).parquet(path)
-        if not days:
-            table.write.mode("overwrite").parquet(snapshot_path(folder, batch_id))
+        last_day = batch.agg(F.max("scan_date")).first()[0]
+        if last_day is not None:
+            table = merge_scans(table, batch, review, venues, last_day, keys).table
+        conform(table).write.mode("overwrite").parquet(snapshot_path(folder, batch_id))
 
     return each
 
@@ -156,7 +149,7 @@ def _progress_row(key: str, state: tuple, status: str) -> pd.DataFrame:
     return pd.DataFrame(
         [[key, date(first), date(last), scans, price, prev7, changes, date(changed), status]],
         columns=[f.split()[0] for f in _PROGRESS.split(", ")],
-    )
+    ).astype({"price_current": "float64", "price_prev7": "float64"})
 
 
 def track_prices(scans: DataFrame, grace_days: int = config.INACTIVE_GRACE_DAYS) -> DataFrame:
