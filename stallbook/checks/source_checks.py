@@ -83,9 +83,10 @@ SHOWN = ("event_name", "event_date", "category", "quantity", "ask_total", "ask_u
 def load_listings(spark, sf_dir):
     """Exported with display headers as CSV text, read back typed."""
     folder = shared_folder(spark) + "/export"
-    columns = [c for c in HEADER_TO_COLUMN.values() if c in listings(spark, sf_dir).columns]
+    rows = listings(spark, sf_dir)
+    columns = [c for c in HEADER_TO_COLUMN.values() if c in rows.columns]
     names = {v: k for k, v in HEADER_TO_COLUMN.items()}
-    T.write_csv(T.export_rows(listings(spark, sf_dir).select(*columns)).withColumnsRenamed(names), folder)
+    T.write_csv(T.export_rows(rows.select(*columns)).withColumnsRenamed(names), folder)
     df = T.load_listings(spark, folder, "csv")
     sources = F.concat_ws(";", F.filter("verif_sources", lambda s: s != ""))
     return df.select(

@@ -44,23 +44,27 @@ def run_progress(
             "errors": F.col("_errors0") + F.count_if(F.col(failed)).over(inside),
         }
     )
-    # block of known-duration ranks; the last keep-1 of a block also go to the next one
-    block = F.floor(F.col("known") / chunk)
-    tail = (F.col("known") % chunk > chunk - keep) & F.col(duration).isNotNull()
-    copies = placed.withColumn(
-        "_copy", F.explode(F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    ).withColumn("_block", block + F.col("_copy"))
-    last = W.partitionBy(run, "_block").orderBy("known").rangeBetween(-(keep - 1), 0)
-    return (
-        copies.withColumn("avg_duration_ms", F.avg(duration).over(last))
+    # The mean belongs to the rank among known durations. Ranks are cut into blocks;
+    # the last ranks of a block also go to the next one. Rows without a duration, of
+    # which a run may have any number, read the mean of their rank.
+    tail = F.col("known") % chunk > chunk - keep
+    ranked = placed.where(F.col(duration).isNotNull()).select(
+        run, "known", duration,
+        F.explode(F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy"),
+    ).withColumn("_block", F.floor(F.col("known") / chunk) + F.col("_copy"))
+    last = W.partitionBy(run, "_block").orderBy("known").rowsBetween(-(keep - 1), 0)
+    means = (
+        ranked.withColumn("avg_duration_ms", F.avg(duration).over(last))
         .where("_copy = 0")
-        .withColumn(
-            "progress",
-            F.concat(
-                F.col("current").cast("string"), F.lit("/"), F.col("total").cast("string"),
-                F.lit(" ("), F.floor(F.col("current") / F.col("total") * 100).cast("string"),
-                F.lit("%)"),
-            ),
-        )
-        .drop("_chunk", "_rows0", "_known0", "_errors0", "_copy", "_block")
+        .select(run, "known", "avg_duration_ms")
+    )
+    percent = F.floor(F.col("current") / F.col("total") * 100).cast("string")
+    progress = F.concat(
+        F.col("current").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" ("),
+        percent, F.lit("%)"),
+    )
+    return (
+        placed.drop("_chunk", "_rows0", "_known0", "_errors0")
+        .join(means, [run, "known"], "left")
+        .withColumn("progress", progress)
     )
