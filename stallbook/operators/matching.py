@@ -23,12 +23,15 @@ def _city(c: Column) -> Column:
 # --- blocked similarity join over distinct names ---------------------------------
 
 
-def _prefixes(names: DataFrame, frequency: DataFrame, min_score: float) -> DataFrame:
+def _prefixes(
+    names: DataFrame, frequency: DataFrame, min_score: float, min_shared: int
+) -> DataFrame:
     """(key, tokens, prefix): the rarest tokens, enough to meet every partner.
 
-    Two names with Jaccard >= t share at least ceil(t * n) tokens of either
-    side, so at least one within the first n - ceil(t * n) + 1 tokens of any
-    order both sides agree on. Rarest first leaves the frequent words out.
+    Two names with Jaccard >= t share at least s = ceil(t * n) tokens of either
+    side (or ``min_shared``, if that is more), so at least one within the first
+    n - s + 1 tokens of any order both sides agree on. Rarest first leaves the
+    frequent words out.
     """
     ranked = (
         names.select("key", "tokens", F.explode("tokens").alias("token"))
@@ -43,17 +46,24 @@ def _prefixes(names: DataFrame, frequency: DataFrame, min_score: float) -> DataF
         )
     )
     n = F.size("tokens")
-    length = n - F.ceil(n * min_score - 1e-9).cast("int") + 1
+    shared = F.greatest(F.ceil(n * min_score - 1e-9).cast("int"), F.lit(min_shared))
+    length = F.greatest(n - shared + 1, F.lit(0))
     return ranked.select(
         "key", "tokens", F.slice(F.col("ranked.token"), F.lit(1), length).alias("prefix")
     )
 
 
 def similar_names(
-    left: DataFrame, right: DataFrame, min_score: float = config.MIN_NAME_SCORE
+    left: DataFrame,
+    right: DataFrame,
+    min_score: float = config.MIN_NAME_SCORE,
+    min_shared: int = 1,
 ) -> DataFrame:
     """(left_key, right_key, name_score) for all name pairs with Jaccard >= min_score.
 
+    With ``min_shared`` = 2 pairs that share a single word may be left out, and
+    no name is looked up by its most frequent word.
+
     Inputs have one row per distinct name: ``key`` and its ``tokens``. Pairs
     meet on a shared prefix token of compatible size; a pair that meets on
     several is kept on the first only, so no ``distinct`` is needed.
@@ -65,7 +75,7 @@ def similar_names(
     )
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return _prefixes(df, frequency, min_score).select(
+        return _prefixes(df, frequency, min_score, min_shared).select(
             F.col("key").alias(name + "_key"), F.col("tokens").alias(name + "_tokens"),
             F.col("prefix").alias(name + "_prefix"), F.explode("prefix").alias("token"),
         )
@@ -86,6 +96,29 @@ def similar_names(
     )
 
 
+def _word_class(token: Column, size: Column) -> Column:
+    """Key of all names of ``size`` words that have the word."""
+    return F.concat(F.lit("\u0001"), token, F.lit("\u0001"), size.cast("string"))
+
+
+def one_word_pairs(left: DataFrame, min_score: float) -> DataFrame:
+    """Pairs of a name with the classes of short names that share one word with it.
+
+    One shared word is enough for sizes a + b <= 1 + 1 / min_score. All names of
+    a class score the same, so a word that is in a third of all names costs one
+    row per name and size instead of all pairs.
+    """
+    a = F.size("tokens")
+    largest = int(1 + 1 / min_score + 1e-9)
+    sizes = F.filter(F.sequence(F.lit(1), F.lit(largest)), lambda b: b <= F.lit(largest) - a)
+    return left.select(
+        F.col("key").alias("left_key"), a.alias("a"), F.explode("tokens").alias("token"), sizes.alias("sizes")
+    ).select("left_key", "a", "token", F.explode("sizes").alias("b")).select(
+        "left_key", _word_class(F.col("token"), F.col("b")).alias("right_key"),
+        (1 / (F.col("a") + F.col("b") - 1)).alias("name_score"),
+    )
+
+
 def _contained(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, label) where the label occurs inside the text, by equality of substrings."""
     lengths = labels.agg(F.array_sort(F.collect_set(F.length("label"))).alias("lens")).scalar()
@@ -133,9 +166,10 @@ def best_matches(
     So candidates collapse to the first one per name, per (name, date), per
     (name, city) and per (name, date, city), and a query probes these classes
     for the dates and cities that score. A name with very many dates or copies
-    is never paired with itself row by row. A class read without its date or
-    city understates a total; the class that states it is probed as well, so
-    the maximum is exact.
+    is never paired with itself row by row. Names that share one word only are
+    classes of their own (``one_word_pairs``). A class read without its date, its
+    city or a second shared word understates a total; the class that states it is
+    probed as well, so the maximum is exact.
     """
     by = list(by)
     q = queries.select(
@@ -150,7 +184,10 @@ def best_matches(
     def names(df: DataFrame, key: str) -> DataFrame:
         return df.select(F.col(key).alias("key"), "tokens").distinct()
 
-    pairs = similar_names(names(q, "left_key"), names(c, "right_key"), min_score)
+    left = names(q, "left_key")
+    pairs = similar_names(left, names(c, "right_key"), min_score, min_shared=2).unionByName(
+        one_word_pairs(left, min_score)
+    )
 
     # stand for "whatever day" and "whatever city" in the classes below
     any_day, any_city = F.lit("0001-01-01").cast("date"), F.lit("")
@@ -160,10 +197,17 @@ def best_matches(
                 F.array(any_day, F.coalesce("event_date", any_day))
             ),
             "cities": F.array_distinct(F.array(any_city, F.col("c_city"))),
+            "groups": F.concat(
+                F.array("right_key"),
+                F.when(F.size("tokens") > 1 / min_score, F.array().cast("array<string>")).otherwise(
+                    F.transform("tokens", lambda w: _word_class(w, F.size("tokens")))
+                ),
+            ),
         }
     )
     classes = (
-        keyed.withColumn("day", F.explode("days"))
+        keyed.withColumn("right_key", F.explode("groups"))
+        .withColumn("day", F.explode("days"))
         .withColumn("c_city", F.explode("cities"))
         .groupBy(*by, "right_key", "day", "c_city")
         .agg(F.min_by(F.struct("event_name", "cand_seq"), F.col("cand_seq")).alias("cand"))
@@ -203,7 +247,7 @@ def best_matches(
     )
     return first_wins(
         scored, ["query_id", *by], F.col("total").desc(), F.col("cand_seq"),
-        F.col("date_score").desc(), F.col("city_score").desc(),
+        F.col("name_score").desc(), F.col("date_score").desc(), F.col("city_score").desc(),
     )
 
 

@@ -76,7 +76,7 @@ def lookup_ref_prices(
         )
     )
     direct = direct_pages.select(
-        F.col("url").alias("_link"), F.col("price").alias("_d_price"),
+        F.col("url").alias("_target"), F.col("price").alias("_d_price"),
         F.col("sold_out").alias("_d_sold"), F.col("source").alias("_d_source"),
     )
     found = search_hits.select(
@@ -84,9 +84,12 @@ def lookup_ref_prices(
         F.col("sold_out").alias("_s_sold"), F.col("source").alias("_s_source"),
     )
     known, linked = F.col("_known").isNotNull(), F.col("_link").isNotNull()
+    # most events have no link: their keys must not meet in one partition
+    own_link = F.coalesce("_link", F.concat(F.lit("\u0001"), F.col("ref_key")))
     return (
         wanted.join(watched, "_name", "left")
-        .join(direct, "_link", "left")
+        .withColumn("_target", own_link)
+        .join(direct, "_target", "left")
         .join(found, "_name", "left")
         .select(
             "ref_key",

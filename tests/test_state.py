@@ -217,6 +217,14 @@ def test_blocked_match_equals_all_pairs(spark):
     assert got == brute_force(queries, candidates)
 
 
+def test_frequent_word_makes_no_pairs(spark):
+    """A word in every name: names meet on their other words only."""
+    names = spark.range(300).select(F.concat(F.lit("live a"), F.col("id").cast("string")).alias("key"))
+    names = names.withColumn("tokens", F.split("key", " "))
+    assert M.similar_names(names, names, min_shared=2).count() == 300
+    assert M.one_word_pairs(names, 0.3).count() == 300 * 2 * 2
+
+
 def status_of(spark, confirmed, answered=("musicbrainz", "wikidata", "bandsintown"), name="A", total=0.8):
     q = spark.createDataFrame([("1", name)], "query_id string, event_name string")
     a = spark.createDataFrame([("1", s) for s in answered], "query_id string, source string")
