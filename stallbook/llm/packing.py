@@ -2,48 +2,78 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stallbook.llm.common import numbered, ship_package
+from stallbook.llm.common import materialise, numbered, shared_folder, ship_package
 
 _WORD = re.compile(r"[^ \t\r\n]+")
-#: words whose ids a worker keeps; beyond it starts afresh
-CACHE_WORDS = 300_000
+#: what str.split takes for white space and the tokenizers do not
+_ODD = "\x1c\x1d\x1e\x1f"
+_TAIL = ".,!?;:*#&%$|"
+#: words, and words without the marks behind them, whose ids a worker keeps; beyond it starts afresh
+CACHE_WORDS, CACHE_CORES = 400_000, 600_000
 #: parts of each length in which sequences are numbered; a fixed number
 PARTS = 1024
 
 
 class WordIds:
-    """Token ids of texts as little-endian 32-bit integers, word by word with a bounded cache.
+    """Token ids of texts as little-endian 32-bit integers, word by word with bounded caches.
 
-    For tokenizers whose pieces never cross white space, as word_bpe_49k.json.
+    For tokenizers that drop white space, lower-case, and part letters and digits from marks, as
+    word_bpe_49k.json: marks behind a letter or digit are tokens of their own.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _cores(self, cores: set[str]) -> None:
+        missing = [c for c in cores if c not in self.cores]
+        if len(self.cores) + len(missing) > CACHE_CORES:
+            self.cores, missing = {}, list(cores)
+        for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+            self.cores[c] = array("I", e.ids).tobytes()
+
+    def _learn(self, missing: set[str]) -> None:
+        cut = {}
+        for w in missing:
+            core = w.rstrip(_TAIL)
+            if core and len(core) < len(w) and core[-1].isalnum() and "<|" not in w:
+                cut[w] = (core.lower() if core.isascii() else core, w[len(core):])
+            else:
+                cut[w] = (w.lower() if w.isascii() and "<|" not in w else w, "")
+        self._cores({part for both in cut.values() for part in both if part})
+        for w, (core, tail) in cut.items():
+            self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
 
     def __call__(self, text: str) -> bytes:
-        words = _WORD.findall(text)
-        known = self.known
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
-                self.known = known = {}
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        return b"".join([known[w] for w in words])
+        words = _WORD.findall(text) if any(c in text for c in _ODD) else text.split()
+        found = list(map(self.words.get, words))
+        if None in found:
+            missing = {w for w, f in zip(words, found) if f is None}
+            if len(self.words) + len(missing) > CACHE_WORDS:
+                self.words, missing = {}, set(words)
+            self._learn(missing)
+            found = list(map(self.words.__getitem__, words))
+        return b"".join(found)
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(path)
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
@@ -53,7 +83,7 @@ def binary_lengths(n: int, longest: int) -> list[int]:
 
 
 def _pieces(batches: Iterable[pa.RecordBatch], path: str, end_id: int, longest: int, ids: bool) -> Iterator[pa.RecordBatch]:
-    encode = WordIds(path)
+    encode = _encoder(path)
     end = end_id.to_bytes(4, "little")
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
@@ -103,6 +133,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, longest: int = 4
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     path, ids = tokenizer_path, with_ids
     pieces = docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, path, end_id, longest, ids), schema)
+    # tokens are made once; the numbers come from the written pieces
+    pieces = materialise(pieces, f"{shared_folder(docs.sparkSession)}/pieces")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
     bucket = (F.lit(longest.bit_length()) - F.log2("length").cast("int")) * PARTS + part
     rows = numbered(pieces, [], bucket, ["doc_id", "start", "ids_crc32"], "sequence_id")

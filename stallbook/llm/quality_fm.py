@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from stallbook.llm import wordhash
 from stallbook.llm.common import ship_package, whole_text
@@ -162,23 +162,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Factorisati
     return train(sample)
 
 
-def score(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.7, kept: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Scores the whole text of every row of ``docs`` (doc_id, text).
 
     The model has a fixed size and is broadcast. A NULL text is the empty text, which has a score
-    as well; repeated rows are scored each. Returns doc_id, score (0 to 1), predicted (1 from
-    ``threshold`` on).
+    as well; repeated rows are scored each. Returns the columns ``kept``, score (0 to 1) and
+    predicted (1 from ``threshold`` on).
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*kept, whole_text().cast("binary").alias("_text"))
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = shared.value
         for batch in batches:
-            for at, texts in _texts(batch, 1):
+            last = batch.num_columns - 1
+            for at, texts in _texts(batch, last):
                 scores = [fm.score(i, v) for i, v in features(texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(scores, pa.float64())], ["doc_id", "score"])
+                columns = [c.slice(at, len(texts)) for c in batch.columns[:last]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*batch.schema.names[:last], "score"])
 
-    rows = docs.select("doc_id", whole_text().cast("binary").alias("_text")).mapInArrow(scored, "doc_id long, score double")
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]] + [T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallbook.checks.catalogue import Catalogue
-from stallbook.llm import imatch, license_scan, line_dedup, lsa_decontam, packing, quality_fm, sharding, simhash_trie
+from stallbook.llm import (
+    imatch, license_scan, line_dedup, lm_deleted, lsa_decontam, packing, quality_fm, sharding, simhash_trie, suffix_dedup,
+)
 from stallbook.llm.common import read
 
 CATALOGUE = Catalogue()
@@ -39,6 +41,13 @@ def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(docs, model).withColumn("held_out", quality_fm.held_out())
 
 
+@CATALOGUE.check("op6_deleted_interpolation")
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    docs = read(spark, sf_dir, "documents").withColumn("train", ~held_out)
+    return lm_deleted.score(docs).withColumn("held_out", held_out)
+
+
 @CATALOGUE.check("op7_simhash_trie")
 def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(read(spark, sf_dir, "documents"))
@@ -49,6 +58,11 @@ def op8_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsa_decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@CATALOGUE.check("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_strings(read(spark, sf_dir, "documents"))
+
+
 @CATALOGUE.check("op10_line_dedup", line_dedup.LINE_SQL)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
