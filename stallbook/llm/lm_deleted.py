@@ -14,7 +14,7 @@ from stallbook.llm import wordhash
 from stallbook.llm.common import materialise, shared_folder, ship_package, whole_text
 
 #: bytes of text that are counted together before counts are shuffled
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: steps of a factor of two in which the held-out probabilities are tallied
 TALLY = 8
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
