@@ -14,7 +14,7 @@ from stallbook.llm import wordhash
 from stallbook.llm.common import materialise, shared_folder, ship_package, whole_text
 
 #: bytes of text that are counted together before counts are shuffled
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: steps of a factor of two in which the held-out probabilities are tallied
 TALLY = 8
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -91,10 +91,14 @@ class _Tokens:
         return wordhash.mix(self.before * _PAIR + self.tokens)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    return (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows))
+
+
 def _asked(batches: Iterable[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
     """The distinct tokens (kind 1) and pairs (kind 2) of each chunk with their training counts, by shard."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             chunk = _Tokens(row["sizes"], row["train"], row["data"])
             out: dict[str, list] = {k: [] for k in ("kind", "shard", "chunk", "hashes", "counts")}
             for kind, values in ((1, chunk.tokens), (2, chunk.pairs())):
@@ -130,7 +134,7 @@ def _answered(group: pa.Table) -> pa.Table:
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, _Tokens, np.ndarray, np.ndarray, np.ndarray]]:
     """Each chunk with the training counts of its tokens, of the pairs, and of the contexts (without the start)."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             chunk = _Tokens(row["sizes"], row["train"], row["data"])
             replies = sorted(row["replies"], key=lambda r: (r["kind"], r["shard"]))
             found = []

@@ -15,7 +15,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: bytes handled at once; a single longer word is handled whole
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
