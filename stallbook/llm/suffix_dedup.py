@@ -17,8 +17,10 @@ from stallbook.llm.induced_sort import common_with_previous, suffix_array
 GRAM = 32
 #: bytes whose windows are looked at together
 SLICE = 1 << 19
+#: segments among which equal ones are merged before they are shuffled
+HELD = 100_000
 #: bytes of one suffix array (a group of windows that must stay together may be larger)
-SHARD = 1 << 21
+SHARD = 1 << 20
 _VERSION_BITS = 23
 
 
@@ -83,8 +85,8 @@ def _runs(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     """Anchored runs of all texts. Of equal anchors in a batch one is to be counted, the others are known to repeat."""
     for batch in batches:
         ids, versions = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for at in range(0, batch.num_rows, 2048):
-            texts = [x.as_buffer().to_pybytes() for x in batch.column(2).slice(at, 2048)]
+        for at in range(0, batch.num_rows, 1024):
+            texts = [x.as_buffer().to_pybytes() for x in batch.column(2).slice(at, 1024)]
             found = []
             for data, owner, place, ends in _slices(texts, length):
                 h, first, count = _anchored(data, ends, length)
@@ -122,37 +124,31 @@ def _repeating(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of each run; of equal segments in a batch only the earliest, the others are repeats (h NULL)."""
+    """The bytes of each run; of equal segments that follow soon only the earliest, the others are repeats (h NULL)."""
+    h, doc, version, start, count, data = columns = [[] for _ in range(6)]
+    known: dict[tuple[int, bytes], int] = {}
     for batch in batches:
-        h: list = []
-        doc: list = []
-        version: list = []
-        start: list = []
-        count: list = []
-        data: list = []
-        known: dict[tuple[int, bytes], int] = {}
         for doc_id, v, text, runs in zip(*(batch.column(i) for i in range(4))):
             doc_id, v, text = doc_id.as_py(), v.as_py(), text.as_buffer().to_pybytes()
             for run in runs.as_py():
                 s, n = (run["place"] >> 8) & 0xFFFFFFFF, run["place"] & 0xFF
                 key = (run["h"], text[s: s + n + length - 1])
-                i = known.get(key)
-                h.append(run["h"])
-                doc.append(doc_id)
-                version.append(v)
-                start.append(s)
-                count.append(n)
-                data.append(key[1])
+                for column, value in zip(columns, (run["h"], doc_id, v, s, n, key[1])):
+                    column.append(value)
                 new = len(h) - 1
-                if i is None:
-                    known[key] = new
-                else:
+                i = known.setdefault(key, new)
+                if i != new:
                     first = (doc_id, v, s) < (doc[i], version[i], start[i])
                     later = i if first else new
                     h[later], data[later] = None, None
                     if first:
                         known[key] = new
-        yield _segment_batch(h, doc, version, start, count, data)
+            if len(h) >= HELD:
+                yield _segment_batch(*columns)
+                known.clear()
+                for column in columns:
+                    column.clear()
+    yield _segment_batch(*columns)
 
 
 _SEGMENT_NAMES = ["h", "doc_id", "version", "start", "n", "data"]
