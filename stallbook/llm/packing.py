@@ -9,6 +9,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,11 +39,25 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _cores(self, cores: set[str]) -> None:
         missing = [c for c in cores if c not in self.cores]
         if len(self.cores) + len(missing) > CACHE_CORES:
             self.cores, missing = {}, list(cores)
+        # a run of letters is one piece, whose last token closes it: many are encoded as one text
+        letters = [c for c in missing if c.isalpha()]
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(letters) and ends[-1] == len(ids):
+                data, at = ids.tobytes(), 0
+                for c, end in zip(letters, (4 * ends).tolist()):
+                    self.cores[c] = data[at:end]
+                    at = end
+                missing = [c for c in missing if not c.isalpha()]
         for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
             self.cores[c] = array("I", e.ids).tobytes()
 
