@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from stallbook.llm.common import whole_text
+from stallbook.llm.common import materialise, shared_folder, whole_text
 
 #: a term is in the lexicon if between these shares of all rows hold it
 LEAST_SHARE, MOST_SHARE = 0.001, 0.02
@@ -17,6 +17,8 @@ SUBSETS = sum(n for _, n in LEVELS)
 _FINE = sum(n for m, n in LEVELS if m < 16)
 #: ids per part in which the next row is looked up, and parts per larger part
 SPAN = 256
+#: parts up to which their list (two numbers each) is broadcast; beyond it texts are shuffled for the join
+BROADCAST_PARTS = 1_000_000
 
 _ALL_FINE = sum(1 << b for b in range(_FINE, SUBSETS))
 
@@ -127,7 +129,7 @@ def fingerprints_with_edits(docs: DataFrame, least: float = LEAST_SHARE, most: f
     The edited text has the last half of the code points replaced by the first as many of the next
     row, by descending doc_id; the next of the last is the first. Rows meet their next one within
     parts of SPAN ids, into which the top row of the part below is copied, so texts are shuffled
-    once. Ties of doc_id follow by text. A NULL text is empty; a row without doc_id has no next one
+    once (twice beyond BROADCAST_PARTS parts). Ties of doc_id follow by text. A NULL text is empty; a row without doc_id has no next one
     (an empty text instead). A text without lexicon terms has a fingerprint of dashes only.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
@@ -138,8 +140,10 @@ def fingerprints_with_edits(docs: DataFrame, least: float = LEAST_SHARE, most: f
     own = plain.select(
         "doc_id", "text", F.lit(False).alias("_ghost"), no_id.alias("_no_id"),
         F.coalesce(F.floor(F.col("doc_id") / SPAN), F.xxhash64("text")).alias("_part"))
+    parts = materialise(_previous_parts(plain), f"{shared_folder(docs.sparkSession)}/parts")
+    small = parts.count() <= BROADCAST_PARTS
     ghosts = (
-        plain.join(_previous_parts(plain), F.col("doc_id") == F.col("_ghost_id"))
+        plain.join(F.broadcast(parts) if small else parts, F.col("doc_id") == F.col("_ghost_id"))
         .select("doc_id", "text", F.lit(True).alias("_ghost"), F.lit(False).alias("_no_id"), "_part"))
     part = W.partitionBy("_part", "_no_id")
     order = part.orderBy("_ghost", F.col("doc_id").desc(), "text")
