@@ -130,14 +130,14 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes
 
 def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, texts in _texts(batch, 1):
+        for at, texts in _texts(batch, 2):
             rows = list(features(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(texts)), pa.array([r[0].tolist() for r in rows], pa.list_(pa.int32())),
-                 pa.array([r[1].tolist() for r in rows], pa.list_(pa.float32()))], ["quality", "index", "value"])
+                [batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([r[0].tolist() for r in rows], pa.list_(pa.int32())),
+                 pa.array([r[1].tolist() for r in rows], pa.list_(pa.float32()))], ["key", "quality", "index", "value"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> FactorisationMachine:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> FactorisationMachine:
     """Learns from at most ``max_rows`` labelled rows that are not held out.
 
     The sample is the documented bound: the labelled rows with the smallest hash of doc_id. Only its
@@ -151,14 +151,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Factorisati
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     texts = docs.select("doc_id", whole_text().cast("binary").alias("_text")).join(F.broadcast(chosen), "doc_id")
-    rows = (
-        texts.select("quality", "_text").mapInArrow(_sampled, "quality int, index array<int>, value array<float>")
-        .toArrow().to_pydict()
-    )
-    sample = sorted(
-        ((np.asarray(i), np.asarray(v, float), int(q)) for q, i, v in zip(*(rows[k] for k in ("quality", "index", "value")))),
-        key=lambda r: (r[0].tolist(), r[1].tolist(), r[2]),
-    )
+    rows = texts.select(F.xxhash64("doc_id").alias("key"), "quality", "_text").mapInArrow(
+        _sampled, "key long, quality int, index array<int>, value array<float>").toArrow().combine_chunks()
+    sample = [
+        (index.values.to_numpy(), value.values.to_numpy().astype(float), quality)
+        for _, _, quality, index, value in sorted(
+            (key, i, quality, rows["index"][i], rows["value"][i])
+            for i, (key, quality) in enumerate(zip(rows["key"].to_pylist(), rows["quality"].to_pylist())))
+    ]
     return train(sample)
 
 
