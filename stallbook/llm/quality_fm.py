@@ -137,7 +137,7 @@ def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([r[1].tolist() for r in rows], pa.list_(pa.float32()))], ["key", "quality", "index", "value"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> FactorisationMachine:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> FactorisationMachine:
     """Learns from at most ``max_rows`` labelled rows that are not held out.
 
     The sample is the documented bound: the labelled rows with the smallest hash of doc_id. Only its
@@ -159,6 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Factorisati
             (key, i, quality, rows["index"][i], rows["value"][i])
             for i, (key, quality) in enumerate(zip(rows["key"].to_pylist(), rows["quality"].to_pylist())))
     ]
+    del rows
+    pa.default_memory_pool().release_unused()
     return train(sample)
 
 
