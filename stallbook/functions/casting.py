@@ -41,8 +41,8 @@ def no_nan(c: Column) -> Column:
 
 
 def money(c: Column) -> Column:
-    """Cent-exact value, so sums do not depend on the order of the rows."""
-    return c.cast(MONEY)
+    """Cent-exact value, so sums do not depend on the order of the rows; NULL beyond the type's range."""
+    return c.try_cast(MONEY)
 
 
 def plain_number(c: Column) -> Column:
@@ -55,4 +55,4 @@ def plain_number(c: Column) -> Column:
 
 def half_even_text(c: Column) -> Column:
     """Number as whole-number text, ties to even."""
-    return F.bround(c, 0).cast("bigint").cast("string")
+    return F.bround(c, 0).try_cast("bigint").cast("string")

@@ -79,7 +79,7 @@ def movement_label(
 ) -> Column:
     """📉 / ➡ / 📈 by relative change; the band is inclusive, percent ties go to even."""
     pct = F.try_divide(current - past, F.abs(past)) * 100
-    whole = F.bround(pct, 0).cast("bigint").cast("string")
+    whole = F.bround(pct, 0).try_cast("bigint").cast("string")
     return (
         F.when(pct <= -threshold, F.concat(F.lit("📉 "), whole, F.lit("%")))
         .when(pct >= threshold, F.concat(F.lit("📈 +"), whole, F.lit("%")))
@@ -106,4 +106,4 @@ def exact_mean(total: Column, n: Column, digits: int = 2) -> Column:
 
 
 def fine(c: Column) -> Column:
-    return c.cast(FINE_MONEY)
+    return c.try_cast(FINE_MONEY)

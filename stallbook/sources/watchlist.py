@@ -22,7 +22,7 @@ def parse_watchlist(lines: DataFrame) -> DataFrame:
 
     def tagged(tag: str) -> F.Column:
         values = F.filter(rest, lambda p: F.upper(p).startswith(tag))
-        return F.transform(values, lambda p: strip(F.substring(p, len(tag) + 1, 1_000_000)))
+        return F.transform(values, lambda p: strip(F.substr(p, F.lit(len(tag) + 1))))
 
     prices = F.transform(
         tagged("OVP:"), lambda p: strict_double(F.replace(p, F.lit(","), F.lit(".")))

@@ -211,3 +211,13 @@ def test_run_progress_is_independent_of_the_chunk(spark):
     whole = run_progress(df, chunk=100_000).select(*columns).orderBy("seq").collect()
     parts = run_progress(df, chunk=11).select(*columns).orderBy("seq").collect()
     assert whole == parts and whole[-1].progress == "199/199 (100%)"
+
+
+def test_absurd_numbers_are_missing_and_end_no_job(spark):
+    from pyspark.sql import functions as F
+
+    from stallbook.functions.casting import half_even_text, money
+    from stallbook.functions.pricing import fine
+
+    row = spark.sql("SELECT 1e20D AS x").select(money(F.col("x")), fine(F.col("x")), half_even_text(F.col("x"))).first()
+    assert tuple(row) == (None, None, None)
