@@ -13,6 +13,7 @@ from stallbook.checks.views import ADS_SQL, LISTINGS_SQL, VENUES_SQL, ads, listi
 from stallbook.functions.text import build_context
 from stallbook.operators import extraction as X, responses as R
 from stallbook.schemas import EVENT_COLUMNS
+from stallbook.sources.scratch import materialise, shared_folder
 
 CATALOGUE = Catalogue()
 check = CATALOGUE.check
@@ -263,7 +264,7 @@ CITY_SQL = """hits AS (SELECT name, city FROM (SELECT v.name, d.city, row_number
     FROM repaired r LEFT JOIN ads a USING (listing_id) LEFT JOIN hits h ON h.name = lower(r.venue)""",
 )
 def metadata(spark, sf_dir):
-    events = R.validate_events(split(spark, sf_dir), AS_OF)
+    events = materialise(R.validate_events(split(spark, sf_dir), AS_OF), shared_folder(spark) + "/events")
     df = R.attach_metadata(events, adverts(spark, sf_dir), part_venues(spark, sf_dir), F.lit(None).cast("timestamp"))
     return df.select(
         "listing_id", "event_no", "event_name", "venue", "city", "listing_url", "seller_type", "seller_name",
@@ -296,12 +297,19 @@ def backup_model(prompt: str) -> str:
 CHAIN = (("rule", rule_model), ("backup", backup_model))
 
 
+def event_columns(ads, chain, venues):
+    """Fields of a stored event."""
+    answers = X.run_extractors(ads.withColumn("prompt", F.col("title")), chain)
+    return X.finish_events(X.answered_events(answers, chain, AS_OF), ads, venues).drop("listing_id").schema
+
+
 def one_per_id(spark, sf_dir):
     from stallbook.operators.pages import first_wins
 
     last = first_wins(ads(spark, sf_dir), ["listing_id"], F.col("seq").desc()).drop("seq")
     return last.select(
-        "*", F.lit("S1").alias("seller_id"), F.lit("").alias("member_since"), F.lit(None).cast("date").alias("posted_on")
+        "*", F.lit("S1").alias("seller_id"), F.lit("").alias("member_since"), F.lit(None).cast("date").alias("posted_on"),
+        F.lit("2024-03-01 08:00:00").cast("timestamp").alias("scraped_at"),
     )
 
 
@@ -340,14 +348,19 @@ def incremental(spark, sf_dir):
     everything = one_per_id(spark, sf_dir)
     venues = part_venues(spark, sf_dir)
     # the store holds one old event for every third advert
-    kind = X.parse_new(everything, CHAIN, venues, AS_OF).drop("listing_id")
+    kind = event_columns(everything, CHAIN, venues)
     old = {
         "event_no": F.lit(0), "event_name": F.lit("gespeichert"), "confidence": F.lit("mittel"), "quantity": F.lit(1),
         "ask_total": F.lit(5.0), "model": F.lit("old"),
     }
     event = F.struct(
-        *[old.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in sorted(kind.schema, key=lambda f: f.name != "event_no")]
+        *[old.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name != "event_no")]
     )
     store = everything.where(F.col("listing_id").cast("bigint") % 3 == 0).select("listing_id", F.array(event).alias("events"))
-    events, _ = X.parse_incremental(everything, store, CHAIN, venues, AS_OF)
+    # every fifth advert has an older copy, which no model may see
+    older = everything.where(F.col("listing_id").cast("bigint") % 5 == 0).withColumn(
+        "scraped_at", F.col("scraped_at") - F.expr("INTERVAL 1 DAY")
+    ).withColumn("body", F.lit("Verkaufe 9 Tickets für Alt am 01.01.1998 in Wien € 1.0 Konzert"))
+    copies = everything.unionByName(older)
+    events, _ = X.parse_incremental(copies, store, CHAIN, venues, AS_OF, shared_folder(spark))
     return events.select("listing_id", "event_name", "confidence", "event_date", "quantity", "ask_total", "model")

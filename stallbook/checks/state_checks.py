@@ -307,13 +307,12 @@ def finish_run(spark, sf_dir):
 
 def run_inputs(spark, sf_dir):
     from stallbook.checks import response_checks as RC
-    from stallbook.operators import extraction as X
     from stallbook.operators.refprice import first_provider_hit
     from stallbook.checks.match_checks import searched
 
     everything = RC.one_per_id(spark, sf_dir)
     venues = part_venues(spark, sf_dir)
-    kind = X.parse_new(everything, RC.CHAIN, venues, AS_OF).drop("listing_id").schema
+    kind = RC.event_columns(everything, RC.CHAIN, venues)
     fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in sorted(kind, key=lambda f: f.name != "event_no"))
     found = searched(spark, sf_dir)
     watch = table(spark, sf_dir, "part").select(F.lit(1).alias("line_no"), F.col("p_name").alias("event_name")).distinct().where(

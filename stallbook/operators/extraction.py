@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 from stallbook.functions import text
 from stallbook.operators.pages import first_wins
 from stallbook.operators.responses import attach_metadata, split_events, validate_events
+from stallbook.sources.scratch import materialise
 
 Extractor = tuple[str, Callable[[str], str]]
-_OUT = "raw STRING, model STRING, parse_ms BIGINT, fallback_used BOOLEAN"
+_OUT = "raw STRING, model STRING, parse_ms BIGINT, fallback_used BOOLEAN, error STRING"
 
 
 def run_extractors(prompts: DataFrame, chain: Sequence[Extractor]) -> DataFrame:
@@ -22,24 +23,28 @@ def run_extractors(prompts: DataFrame, chain: Sequence[Extractor]) -> DataFrame:
 
     ``prompts`` has (listing_id, prompt). Each task sends its own rows; a row
     whose models all fail keeps an empty answer and the last model's name.
+    ``error`` names the models that failed and why; NULL when the first one answered.
     """
     models = list(chain)
 
-    def answer(prompt: str) -> tuple[str, str, int, bool]:
+    def answer(prompt: str) -> tuple[str, str, int, bool, str | None]:
+        failed: list[str] = []
         for position, (name, call) in enumerate(models):
             started = time.monotonic()
             try:
                 raw = call(prompt)
-            except Exception:  # noqa: BLE001 - any model error moves on to the next model
+            except Exception as e:  # noqa: BLE001 - any model error moves on to the next model
+                failed.append(f"{name}: {type(e).__name__}: {e}")
                 continue
-            return raw, name, max(1, int((time.monotonic() - started) * 1000)), position > 0
-        return "", models[-1][0], 0, True
+            spent = max(1, int((time.monotonic() - started) * 1000))
+            return raw, name, spent, position > 0, "; ".join(failed) or None
+        return "", models[-1][0], 0, True, "; ".join(failed)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             answers = pd.DataFrame(
                 [answer(p) for p in frame["prompt"]],
-                columns=["raw", "model", "parse_ms", "fallback_used"], index=frame.index,
+                columns=["raw", "model", "parse_ms", "fallback_used", "error"], index=frame.index,
             )
             yield pd.concat([frame[["listing_id"]], answers], axis=1)
 
@@ -60,17 +65,34 @@ def parse_new(
     chain: Sequence[Extractor],
     venues: DataFrame,
     as_of: dt.date,
+    folder: str,
     template: str = "{text}",
 ) -> DataFrame:
-    """Filter → context → models → split → validate → metadata."""
-    keep = wanted_ads(ads)
+    """Newest copy of every advert → filter → context → models → split → validate → metadata.
+
+    The answers are written to ``folder``/answers and everything after reads
+    them, so a model is asked once per advert; the parsed events follow in
+    ``folder``/events, so an answer is parsed once.
+    """
+    keep = wanted_ads(latest_ads(ads))
     context = text.build_context(F.col("title"), F.col("price_raw"), F.col("body"))
-    answers = run_extractors(keep.withColumn("prompt", text.build_prompt(context, template)), chain)
+    prompts = keep.withColumn("prompt", text.build_prompt(context, template))
+    answers = materialise(run_extractors(prompts, chain), folder + "/answers")
+    events = materialise(answered_events(answers, chain, as_of), folder + "/events")
+    return finish_events(events, keep, venues)
+
+
+def answered_events(answers: DataFrame, chain: Sequence[Extractor], as_of: dt.date) -> DataFrame:
+    """Stored answers → validated events."""
     structured = (F.col("model") == chain[0][0]) & ~F.col("fallback_used")
-    events = validate_events(split_events(answers, structured), as_of)
-    return attach_metadata(events, keep, venues).withColumn("pipeline_version", F.lit("v2.0")).drop(
-        "raw"
-    )
+    return validate_events(split_events(answers.drop("error"), structured), as_of)
+
+
+def finish_events(events: DataFrame, ads: DataFrame, venues: DataFrame) -> DataFrame:
+    """Adds the advert's columns and the version. ``events`` should be stored: it is read twice."""
+    return attach_metadata(events, ads, venues).withColumn(
+        "pipeline_version", F.lit("v2.0")
+    ).drop("raw")
 
 
 def parse_incremental(
@@ -79,6 +101,7 @@ def parse_incremental(
     chain: Sequence[Extractor],
     venues: DataFrame,
     as_of: dt.date,
+    folder: str,
     template: str = "{text}",
     full_refresh: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
@@ -86,10 +109,10 @@ def parse_incremental(
 
     ``store(listing_id, events ARRAY<STRUCT>)`` keeps one entry per parsed
     advert, empty ones included, so a filtered advert is not looked at twice.
-    Write the entries before the events are used twice: a model answers once.
+    Copies of an advert count once, its newest version. Answers are stored under ``folder``.
     """
     todo = ads if full_refresh else ads.join(store.select("listing_id"), "listing_id", "left_anti")
-    fresh = parse_new(todo, chain, venues, as_of, template)
+    fresh = parse_new(todo, chain, venues, as_of, folder, template)
     columns = [c for c in fresh.columns if c != "listing_id"]
     # an advert yields a handful of events; its own answer bounds the list
     lists = fresh.groupBy("listing_id").agg(

@@ -217,14 +217,17 @@ def is_valid_extraction(name: Column, date: Column, total: Column) -> Column:
 def attach_metadata(
     events: DataFrame, ads: DataFrame, venues: DataFrame, parsed_at: Column | None = None
 ) -> DataFrame:
-    """Advert columns joined back by id; a missing city comes from the venue."""
+    """Advert columns joined back by id; a missing city comes from the venue.
+
+    The venue lookup reads ``events`` a second time, for its distinct names:
+    hand in a stored table where they are dear.
+    """
     advert = ads.select(
         "listing_id", "listing_url", "seller_type", "seller_name", "seller_id", "member_since",
         "price_raw", "posted_on",
     )
-    joined = events.join(advert, "listing_id", "left")
     stamp = F.current_timestamp() if parsed_at is None else parsed_at
-    located = with_venue(joined, venues, prefix="_v_", with_city=True)
+    located = with_venue(events, venues, prefix="_v_", with_city=True).join(advert, "listing_id", "left")
     city = F.when(F.coalesce(F.col("city"), F.lit("")) != "", F.col("city"))
     return (
         located.withColumn("city", F.coalesce(city, F.col("_v_city"), F.col("city")))

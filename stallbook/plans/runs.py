@@ -103,7 +103,7 @@ def full_run(
     again, so no model is asked twice. A dry run stops before the tables change.
     """
     _, entries = parse_incremental(
-        inputs.ads, inputs.parse_store, chain, inputs.venues, as_of, template
+        inputs.ads, inputs.parse_store, chain, inputs.venues, as_of, folder + "/parse", template
     )
     entries = materialise(entries, folder + "/parse_entries")
     store = inputs.parse_store.unionByName(entries, allowMissingColumns=True)
