@@ -44,16 +44,22 @@ def roundtrip_raw_ads(spark, sf_dir):
     return back.select("listing_id", "title", "body", "seller_type", F.col("scraped_at").cast("string").alias("scraped_at"))
 
 
-@check("src_raw_ads_files", "SELECT 'p' || page_id AS listing_id, url AS listing_url FROM pages WHERE page_id % 4 <> 0")
+@check(
+    "src_raw_ads_files",
+    """SELECT 'p' || page_id AS listing_id, url AS listing_url, CASE WHEN page_id % 3 = 0 THEN '2026-04-01' END AS posted_on
+    FROM pages WHERE page_id % 4 <> 0""",
+)
 def raw_ads_files(spark, sf_dir):
-    """One JSON document per file; every fourth file is cut off in the middle."""
+    """One JSON document per file; every fourth file is cut off in the middle. Days are ISO, German, empty or absent."""
     folder = shared_folder(spark) + "/files"
-    doc = F.to_json(F.struct(F.concat(F.lit("p"), F.col("page_id")).alias("listing_id"), F.col("url").alias("listing_url"), F.col("page_id").cast("string").alias("title")))
+    kind = F.col("page_id") % 3
+    day = F.when(kind == 0, "2026-04-01").when(kind == 1, F.when(F.col("page_id") % 2 == 0, "01.04.2026").otherwise(""))
+    doc = F.to_json(F.struct(F.concat(F.lit("p"), F.col("page_id")).alias("listing_id"), F.col("url").alias("listing_url"), F.col("page_id").cast("string").alias("title"), day.alias("posted_on")))
     docs = pages(spark, sf_dir).select("page_id", doc.alias("doc")).select(
         F.when(F.col("page_id") % 4 == 0, F.expr("substr(doc, 1, length(doc) - 5)")).otherwise(F.col("doc")).alias("value"), "page_id"
     )
     docs.repartitionByRange(F.col("page_id")).write.option("maxRecordsPerFile", 1).partitionBy("page_id").text(folder)
-    return T.read_raw_ads(spark, folder).select("listing_id", "listing_url")
+    return T.read_raw_ads(spark, folder).select("listing_id", "listing_url", F.col("posted_on").cast("string").alias("posted_on"))
 
 
 @check(
@@ -117,6 +123,28 @@ def roundtrip_csv(spark, sf_dir):
     return spark.read.option("header", True).schema("listing_id STRING, event_name STRING, seller_name STRING, quantity STRING").csv(folder)
 
 
+@check(
+    "src_table_to_dashboard",
+    FULL_SQL + "SELECT event_name, category, event_date, n_listings, dealer_avg, top_seller, price_movement, round(dealer_margin_pct, 2) AS dealer_margin_pct FROM d",
+)
+def table_to_dashboard(spark, sf_dir):
+    """Exported CSV with display headers → stored dashboard with display headers."""
+    folder = shared_folder(spark)
+    rows = listings(spark, sf_dir)
+    columns = [c for c in HEADER_TO_COLUMN.values() if c in rows.columns]
+    others = [c for c in D.OPTIONAL if c in rows.columns and c not in columns]
+    parts = [F.date_format("seq.l_shipdate", "yyyy-MM-dd"), *[F.lpad(F.col(f"seq.{c}").cast("string"), 12, "0") for c in ("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")]]
+    # the order of the rows as text that sorts like its parts
+    shown = T.export_rows(rows.select("listing_id", *columns, *others, F.concat_ws("|", *parts).alias("seq")))
+    T.write_csv(shown.withColumnsRenamed({v: k for k, v in HEADER_TO_COLUMN.items()}), folder + "/export")
+    board = D.market_dashboard(T.load_listings(spark, folder + "/export", "csv"), AS_OF)
+    T.write_dashboard(board, folder + "/dashboard", headers=True)
+    back = spark.read.parquet(folder + "/dashboard")
+    assert back.columns == list(DASHBOARD_HEADERS.values())
+    names = ("event_name", "category", "event_date", "n_listings", "dealer_avg", "top_seller", "price_movement", "dealer_margin_pct")
+    return back.select(*[F.col(DASHBOARD_HEADERS[c]).cast("string").alias(c) if c == "event_date" else F.col(DASHBOARD_HEADERS[c]).alias(c) for c in names])
+
+
 @check(
     "src_roundtrip_dashboard",
     FULL_SQL + """SELECT event_name, category, event_date, n_listings, dealer_avg, top_seller, price_movement,

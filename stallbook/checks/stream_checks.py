@@ -8,7 +8,7 @@ from stallbook.checks.catalogue import Catalogue
 from stallbook.checks.page_checks import TODAY, pages
 from stallbook.checks.state_checks import FOLD_SQL, text_dates
 from stallbook.checks.views import part_venues, table
-from stallbook.operators.pages import extract_ads, first_wins
+from stallbook.operators.pages import extract_ads
 from stallbook.schemas import LISTING
 from stallbook.sources.scratch import shared_folder
 from stallbook.sources.tables import write_raw_ads
@@ -22,17 +22,16 @@ def finish(query):
     query.awaitTermination()
 
 
-def ad_source(spark, sf_dir, folder):
-    ads = extract_ads(pages(spark, sf_dir), TODAY, scraped_at=F.lit("2024-03-01 08:00:00").cast("timestamp"))
-    write_raw_ads(ads, folder)
-
-
 @check("stream_ingest", "SELECT url AS listing_url, count(*) AS n FROM pages GROUP BY ALL")
 def ingest(spark, sf_dir):
     """Two scheduled runs over a growing folder take every file once."""
     base = shared_folder(spark)
-    ad_source(spark, sf_dir, base + "/in/first")
-    for _ in range(2):
+    ads = extract_ads(pages(spark, sf_dir), TODAY, scraped_at=F.lit("2024-03-01 08:00:00").cast("timestamp"))
+    early = F.crc32(F.encode("listing_url", "utf-8")) % 2 == 0
+    for name, part in (("first", ads.where(early)), ("second", ads.where(~early))):
+        write_raw_ads(part, f"{base}/in/{name}")
+        # lines that are no adverts arrive as well
+        spark.createDataFrame([('{"listing_id": "x", "title": ',), ("kein json",)], "value string").write.text(f"{base}/in/broken_{name}")
         finish(J.start(J.stream_ads(spark, base + "/in/*"), base + "/checkpoint", base + "/out"))
     out = spark.read.parquet(base + "/out")
     return out.groupBy("listing_url").agg(F.count("*").alias("n"))
@@ -51,6 +50,15 @@ def slices(spark, sf_dir, base, columns, cuts=("2024-01-11", "2024-01-21")):
         yield
 
 
+def mixed_slices(spark, sf_dir, base, columns, n=3):
+    """Writes the events in steps that cut through every day and are in no order of time."""
+    e = table(spark, sf_dir, "events")
+    for i in range(n):
+        part = e.where(F.pmod(F.xxhash64("event_id"), F.lit(n)) == i)
+        part.select(*columns).write.mode("append").parquet(base + "/in")
+        yield
+
+
 @check("stream_drop_seen", "SELECT CAST(user_id AS VARCHAR) AS listing_id, 1 AS n FROM events GROUP BY ALL")
 def drop_seen(spark, sf_dir):
     base = shared_folder(spark)
@@ -89,24 +97,38 @@ def drop_old(spark, sf_dir):
     FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY i DESC) AS rk FROM fold) WHERE rk = 1""",
 )
 def merge_history(spark, sf_dir):
-    """One scan per day; every micro-batch merges its days into the snapshot."""
+    """Scans that arrive in no order; every micro-batch merges its days into the snapshot."""
+    folder, version = merged_stream(spark, sf_dir)
+    out = spark.read.schema(LISTING).parquet(J.snapshot_path(folder, version))
+    columns = ("listing_id", "first_seen", "last_seen", "scan_count", "price_current", "price_prev7", "price_changes", "price_changed_on")
+    return text_dates(out.select(*columns))
+
+
+def merged_stream(spark, sf_dir):
+    """(folder, last version) after three micro-batches cut inside days."""
     base = shared_folder(spark)
     columns = (
         F.col("user_id").cast("string").alias("listing_id"), F.to_date("ts").alias("scan_date"), F.lit("Konzert").alias("event_name"),
         F.lit("Brand#2").alias("venue"), F.lit(1).alias("quantity"), F.col("value").alias("ask_total"), F.lit(True).alias("is_unit_price"),
-        F.lit(None).cast("double").alias("ref_price"), F.lit(None).cast("string").alias("ref_source"), F.lit("hoch").alias("confidence"),
+        F.lit(None).cast("double").alias("ref_price"), F.lit(None).cast("string").alias("ref_source"),
+        F.when(F.col("user_id") % 3 == 0, "niedrig").otherwise("hoch").alias("confidence"),
         F.lit(None).cast("string").alias("confidence_reason"), F.lit("Privat").alias("seller_type"), F.lit("S").alias("seller_name"),
         F.to_date("ts").alias("event_date"), F.col("event_id").alias("seq"),
     )
     each = J.merge_each(spark, base + "/listings", part_venues(spark, sf_dir))
     version = -1
-    for version, _ in enumerate(slices(spark, sf_dir, base, columns, ("2024-01-04", "2024-01-16"))):
+    for version, _ in enumerate(mixed_slices(spark, sf_dir, base, columns)):
         schema = spark.read.parquet(base + "/in").schema
         stream = spark.readStream.schema(schema).parquet(base + "/in")
         finish(J.start(stream, base + "/checkpoint", each=each))
-    out = spark.read.schema(LISTING).parquet(J.snapshot_path(base + "/listings", version))
-    columns = ("listing_id", "first_seen", "last_seen", "scan_count", "price_current", "price_prev7", "price_changes", "price_changed_on")
-    return text_dates(out.select(*columns))
+    return base + "/listings", version
+
+
+@check("stream_review_queue", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS listing_id, 'niedrig' AS confidence FROM events WHERE user_id % 3 = 0")
+def review_queue(spark, sf_dir):
+    """Every id of low confidence is queued once, in whichever batch it came first."""
+    folder, version = merged_stream(spark, sf_dir)
+    return J.review_queue(spark, folder, version).select("listing_id", "confidence")
 
 
 @check(
@@ -116,14 +138,14 @@ def merge_history(spark, sf_dir):
     FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY i DESC) AS rk FROM fold) WHERE rk = 1""",
 )
 def track_prices(spark, sf_dir):
-    """The same fold as a stateful stream over three arrivals."""
+    """The same fold as a stream over three arrivals, cut inside days and in no order."""
     base = shared_folder(spark)
     columns = (F.col("user_id").cast("string").alias("listing_id"), F.col("ts").alias("scan_ts"), F.col("value").alias("ask_unit"), F.col("event_id").alias("seq"))
-    for _ in slices(spark, sf_dir, base, columns):
+    each = J.track_prices(spark, base + "/out")
+    for _ in mixed_slices(spark, sf_dir, base, columns):
         stream = spark.readStream.schema("listing_id STRING, scan_ts TIMESTAMP, ask_unit DOUBLE, seq BIGINT").parquet(base + "/in")
-        finish(J.start(J.track_prices(stream), base + "/checkpoint", base + "/out"))
-    newest = first_wins(spark.read.parquet(base + "/out"), ["listing_id"], F.col("scan_count").desc())
-    return text_dates(newest.drop("status"))
+        finish(J.start(stream, base + "/checkpoint", each=each))
+    return text_dates(J.tracked_prices(spark, base + "/out").drop("status"))
 
 
 @check(

@@ -116,9 +116,11 @@ def _fold(history: Column, start: Column) -> Column:
             price.alias("price_current"), F.lit(None).cast("double").alias("price_prev7"),
             F.lit(0).alias("price_changes"), day.alias("price_changed_on"),
         ).cast(PRICE_STATE)
+        # the day of the last scan again is no further scan
+        again = F.when(day > s["last_seen"], 1).otherwise(0)
         old = F.struct(
             s["first_seen"].alias("first_seen"), day.alias("last_seen"),
-            (s["scan_count"] + 1).alias("scan_count"), *[c.alias(k) for k, c in moved.items()],
+            (s["scan_count"] + again).alias("scan_count"), *[c.alias(k) for k, c in moved.items()],
         ).cast(PRICE_STATE)
         return F.when(s.isNull(), new).otherwise(old)
 
@@ -288,6 +290,16 @@ def apply_scan(
     return merge_history(existing, batch, review, scan_date, keys=keys)
 
 
+def scan_days(scans: DataFrame, keys: Sequence[str] = KEY, seq: str = "seq") -> DataFrame:
+    """(keys, scan_date, seq, ask_unit): the last scan of every day on which a key was seen."""
+    rows = scans
+    for k in keys:
+        rows = rows.where(_not_blank(k))
+    unit = pricing.unit_ask(F.col("ask_total"), F.col("quantity"), F.col("is_unit_price"))
+    daily = first_wins(rows, [*keys, "scan_date"], F.col(seq).desc())
+    return daily.select(*keys, "scan_date", F.col(seq).alias("seq"), unit.alias("ask_unit"))
+
+
 def merge_scans(
     existing: DataFrame,
     scans: DataFrame,
@@ -297,19 +309,26 @@ def merge_scans(
     keys: Sequence[str] = KEY,
     seq: str = "seq",
     grace_days: int = config.INACTIVE_GRACE_DAYS,
+    history: DataFrame | None = None,
 ) -> Merge:
     """Several scan days at once: the result of ``apply_scan`` day after day, in one merge.
 
     ``scans`` has a ``scan_date``. The rows of a key reduce to its last per day;
-    its days fold over the stored price state, and its last row gives the rest.
+    its days fold over the stored price state, and its last row gives the rest
+    unless the stored row is of a later day.
+
+    ``history`` (keys, scan_date, ask_unit) holds all days of the keys of
+    ``scans``, these scans included. The price state is then folded anew, so days
+    may come in any order and in parts. Without it, days before the stored
+    ``last_seen`` change nothing.
     """
     rows = scans
     for k in keys:
         rows = rows.where(_not_blank(k))
     daily = first_wins(rows, [*keys, "scan_date"], F.col(seq).desc())
-    unit = pricing.unit_ask(F.col("ask_total"), F.col("quantity"), F.col("is_unit_price"))
-    days = daily.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("scan_date", unit.alias("ask_unit")))).alias("_days")
+    seen = scan_days(rows, keys, seq) if history is None else history
+    days = seen.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("scan_date", "ask_unit"))).alias("_days")
     )
     low = first_wins(daily.where(F.col("confidence") == config.LOW_CONFIDENCE), list(keys), F.col("scan_date"))
     latest = first_wins(daily, list(keys), F.col("scan_date").desc()).drop(seq)
@@ -324,9 +343,18 @@ def merge_scans(
             "e.price_current", "e.price_prev7", "e.price_changes", "e.price_changed_on",
         ).cast(PRICE_STATE),
     )
+
+    def older(day: Column) -> Column:
+        return F.coalesce(day < F.col("e.last_seen"), F.lit(False))
+
     joined = _both(existing, batch.join(days, list(keys)), keys).withColumn(
-        "_s", F.when(in_b, _fold(F.col("b._days"), start))
+        "_s", F.when(in_b, _fold(F.col("b._days"), F.lit(None).cast(PRICE_STATE)))
+        if history is not None
+        else F.when(in_b, _fold(F.filter("b._days", lambda d: ~older(d["scan_date"])), start))
     )
+    for c in existing.columns:
+        if c not in config.HISTORY_COLUMNS:
+            merged[c] = F.when(in_b & older(F.col("b.scan_date")), F.col(f"e.{c}")).otherwise(merged[c])
     for c in config.HISTORY_COLUMNS:
         if c != "status":
             merged[c] = F.when(in_b, F.col(f"_s.{c}")).otherwise(F.col(f"e.{c}"))

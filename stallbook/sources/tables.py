@@ -18,20 +18,27 @@ from stallbook.schemas import DASHBOARD_HEADERS, HEADER_TO_COLUMN, RAW_AD
 
 
 def read_raw_ads(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
-    """JSON adverts with the fixed schema; malformed files drop out.
+    """JSON adverts with the fixed schema; only documents that are not JSON drop out.
 
+    A date or time that cannot be read is NULL, the rest of its advert stays.
     ``one_per_file`` reads one advert per file. Large collections should hold
     one advert per line instead, which splits into even tasks.
     """
-    schema = RAW_AD + ", _bad STRING"
-    reader = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .option("multiLine", one_per_file)
-        .option("recursiveFileLookup", True)
+    reader = spark.read.schema(RAW_AD_TEXT).options(**RAW_AD_OPTIONS)
+    reader = reader.option("multiLine", one_per_file).option("recursiveFileLookup", True)
+    return typed_ads(reader.json(path))
+
+
+# every field is text first: a field of another form must not spoil its advert
+RAW_AD_TEXT = ", ".join(f"{c.split()[0]} STRING" for c in RAW_AD.split(", ")) + ", _bad STRING"
+RAW_AD_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+
+
+def typed_ads(texts: DataFrame) -> DataFrame:
+    """Rows read with RAW_AD_TEXT → RAW_AD."""
+    return texts.where("_bad IS NULL").drop("_bad").withColumns(
+        {"posted_on": strict_date(F.col("posted_on")), "scraped_at": F.try_to_timestamp("scraped_at")}
     )
-    return reader.json(path).where("_bad IS NULL").drop("_bad")
 
 
 def write_raw_ads(ads: DataFrame, path: str) -> None:
@@ -60,13 +67,32 @@ def append_missing(source: DataFrame, target: DataFrame, key: str, path: str) ->
 
 
 def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Stored table, or an empty one of the same schema when there is none yet."""
+    """Stored table, or an empty one of the same schema when its path was never created.
+
+    Any other failure is raised: a table that cannot be read is not an empty one.
+    """
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
+def stored_versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the completely written ``version=n`` tables of a folder, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = files.globStatus(path(f"{folder}/version=*/_SUCCESS")) or []
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in done)
+
+
+def read_versions(spark: SparkSession, folder: str, upto: int) -> DataFrame:
+    """All versions up to a number, at least one, as one table with their ``version``."""
+    paths = [f"{folder}/version={v}" for v in stored_versions(spark, folder) if v <= upto]
+    return spark.read.option("basePath", folder).parquet(*paths)
+
+
 def store_hits(wanted: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return store.join(wanted.select(key).distinct(), key, "left_semi")
 
@@ -98,15 +124,17 @@ def _typed(c: Column, kind: str) -> Column:
 def load_listings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Exported main table with display headers → dashboard input.
 
-    Columns get their types, absent columns become NULL, missing unit prices are
-    filled. A table that is not there gives an empty frame.
+    Known columns get their types, absent ones become NULL, all others stay as
+    they are stored; missing unit prices are filled. ``seq`` orders the rows: the
+    stored column of that name, else the order in which the files are read. A
+    table that is not there gives an empty frame.
     """
     types = OPTIONAL | {"posted_on": "date", "verif_score": "double"}
     try:
         raw = spark.read.format(fmt).option("header", True).load(path)
     except AnalysisException:
         empty = ", ".join(f"{c} {t}" for c, t in types.items())
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], empty + ", seq BIGINT")
     named = rename_headers(raw)
     have = dict(named.dtypes)
     columns = [
@@ -114,7 +142,9 @@ def load_listings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
         for c, t in types.items()
     ]
     unit = fill_unit_ask(F.col("ask_unit"), F.col("ask_total"), F.col("quantity"))
-    return named.select(*columns).withColumn("ask_unit", unit)
+    others = [c for c in named.columns if c not in types]
+    typed = named.select(*others, *columns).withColumn("ask_unit", unit)
+    return typed if "seq" in others else typed.withColumn("seq", F.monotonically_increasing_id())
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
@@ -169,6 +199,6 @@ def dashboard_rows(dashboard: DataFrame, headers: bool = True) -> DataFrame:
     return dashboard.select(*[shown(c) for c in DASHBOARD_HEADERS])
 
 
-def write_dashboard(dashboard: DataFrame, path: str) -> None:
-    """Replaces the stored dashboard as a whole."""
-    dashboard_rows(dashboard, headers=False).write.mode("overwrite").parquet(path)
+def write_dashboard(dashboard: DataFrame, path: str, headers: bool = False) -> None:
+    """Replaces the stored dashboard as a whole, with column names or display headers."""
+    dashboard_rows(dashboard, headers).write.mode("overwrite").parquet(path)

@@ -3,29 +3,29 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stallbook import config
 from stallbook.functions.keys import event_key
 from stallbook.operators.pages import first_wins
-from stallbook.operators.state import conform, merge_scans
-from stallbook.schemas import LISTING, RAW_AD
-from stallbook.sources.tables import read_store
+from stallbook.operators.state import conform, fold_prices, merge_scans, scan_days
+from stallbook.schemas import LISTING, REVIEW_COLUMNS
+from stallbook.sources.tables import (
+    RAW_AD_OPTIONS, RAW_AD_TEXT, read_store, read_versions, stored_versions, typed_ads,
+)
 
 # --- ingestion --------------------------------------------------------------------------
 
 
 def stream_ads(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """New advert files of a folder, each read once."""
-    reader = spark.readStream.schema(RAW_AD)
+    """New advert files of a folder, each read once; a line that is not JSON drops out."""
+    reader = spark.readStream.schema(RAW_AD_TEXT).options(**RAW_AD_OPTIONS)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(folder)
+    return typed_ads(reader.json(folder))
 
 
 def start(
@@ -53,7 +53,11 @@ def start(
 def drop_seen(
     ads: DataFrame, key: str = "listing_id", at: str = "scraped_at", within: str = "30 days"
 ) -> DataFrame:
-    """First sighting of every id within the watermark; the state is bounded by it."""
+    """First sighting of every id within the watermark; the state is bounded by it.
+
+    An id that comes back after ``within`` counts as new, and a row that is later than
+    that is dropped. ``append_unseen`` has neither limit and is the default choice.
+    """
     return ads.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
@@ -93,102 +97,106 @@ def snapshot_path(folder: str, batch_id: int) -> str:
     return f"{folder}/version={batch_id}"
 
 
+def version_before(spark: SparkSession, folder: str, batch_id: int) -> int | None:
+    """Newest stored version below a batch; None only for the first batch of a new folder."""
+    stored = stored_versions(spark, folder)
+    if batch_id == 0 and any(v > 0 for v in stored):
+        raise RuntimeError(f"{folder} holds later versions: continue with its checkpoint or take a new folder")
+    before = [v for v in stored if v < batch_id]
+    if batch_id > 0 and not before:
+        raise RuntimeError(f"{folder} has no version before batch {batch_id}")
+    return before[-1] if before else None
+
+
+def _all_days(
+    spark: SparkSession, folder: str, new: DataFrame, batch_id: int, keys: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Stores a batch's days; gives (all days of its keys, one row with the newest day of all)."""
+    new.write.mode("overwrite").parquet(snapshot_path(folder, batch_id))
+    stored = read_versions(spark, folder, batch_id)
+    mine = stored.join(spark.read.parquet(snapshot_path(folder, batch_id)).select(*keys).distinct(), list(keys), "left_semi")
+    # a day that came in parts counts once; its last scan gives the price
+    days = first_wins(mine, [*keys, "scan_date"], F.struct("seq", "version").desc())
+    return days, stored.agg(F.max("scan_date").alias("day"))
+
+
 def merge_each(
     spark: SparkSession, folder: str, venues: DataFrame, keys: Sequence[str] = ("listing_id",)
 ) -> Callable[[DataFrame, int], None]:
     """History merge per micro-batch.
 
-    The snapshot of batch n is built from the one of batch n-1 and written to
+    The snapshot of batch n is built from the newest one before it and written to
     its own folder: a batch that is repeated after a failure gives the same
-    snapshot. All scan days of a batch go into one merge.
+    snapshot. All scan days of a batch go into one merge. The days on which a
+    key was seen are kept in ``folder``_days, so days that come late, in parts or
+    out of order give the history of the days in order; a late day never
+    replaces values of a later one. New rows of the review queue are in
+    ``folder``_review.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        table = read_store(spark, snapshot_path(folder, batch_id - 1), LISTING)
-        review = table.where("needs_review").select("listing_id")
-        last_day = batch.agg(F.max("scan_date")).first()[0]
+        before = version_before(spark, folder, batch_id)
+        empty = spark.createDataFrame([], LISTING)
+        table = empty if before is None else spark.read.schema(LISTING).parquet(snapshot_path(folder, before))
+        rows = batch.persist()
+        days, newest = _all_days(spark, folder + "_days", scan_days(rows, keys), batch_id, keys)
+        last_day = newest.first()[0]
         if last_day is not None:
-            table = merge_scans(table, batch, review, venues, last_day, keys).table
+            queue = review_queue(spark, folder, batch_id - 1)
+            merge = merge_scans(table, rows, queue, venues, last_day, keys, history=days)
+            merge.review_added.write.mode("overwrite").parquet(snapshot_path(folder + "_review", batch_id))
+            table = merge.table
         conform(table).write.mode("overwrite").parquet(snapshot_path(folder, batch_id))
+        rows.unpersist()
 
     return each
 
 
-# --- price progression with an inactivity timer ------------------------------------------------
-
-_STATE = (
-    "first_day INT, last_day INT, scans INT, price DOUBLE, prev7 DOUBLE, changes INT, changed_day INT"
-)
-_PROGRESS = (
-    "listing_id STRING, first_seen DATE, last_seen DATE, scan_count INT, price_current DOUBLE, "
-    "price_prev7 DOUBLE, price_changes INT, price_changed_on DATE, status STRING"
-)
-_EPOCH = dt.date(1970, 1, 1)
+def review_queue(spark: SparkSession, folder: str, upto: int) -> DataFrame:
+    """Review rows that ``merge_each`` has added up to a batch."""
+    if not any(v <= upto for v in stored_versions(spark, folder + "_review")):
+        return spark.createDataFrame([], ", ".join(f"{c} STRING" for c in REVIEW_COLUMNS))
+    return read_versions(spark, folder + "_review", upto).drop("version")
 
 
-def _advance(state: tuple | None, day: int, price: float | None) -> tuple:
-    """One scan of a listing; the streaming twin of ``operators.state.price_step``."""
-    if state is None:
-        return day, day, 1, price, None, 0, day
-    first, _, scans, current, prev7, changes, changed = state
-    if price is not None and current is None:
-        current, changed = price, day
-    elif price is not None and abs(current - price) >= config.PRICE_NOOP:
-        age = day - (changed if changed is not None else first)
-        if age >= config.PRICE_HISTORY_DAYS:
-            prev7 = current
-        current, changes, changed = price, changes + 1, day
-    return first, day, scans + 1, current, prev7, changes, changed
+# --- price progression ----------------------------------------------------------------------
 
 
-def _progress_row(key: str, state: tuple, status: str) -> pd.DataFrame:
-    def date(day: int | None) -> dt.date | None:
-        return None if day is None else _EPOCH + dt.timedelta(days=day)
+def track_prices(
+    spark: SparkSession, folder: str
+) -> Callable[[DataFrame, int], None]:
+    """scans(listing_id, scan_ts, ask_unit, seq) per micro-batch → price state per listing.
 
-    first, last, scans, price, prev7, changes, changed = state
-    return pd.DataFrame(
-        [[key, date(first), date(last), scans, price, prev7, changes, date(changed), status]],
-        columns=[f.split()[0] for f in _PROGRESS.split(", ")],
-    ).astype({"price_current": "float64", "price_prev7": "float64"})
+    The state is the batch fold over all days of the listings of the batch. It
+    is kept in files instead of a state store: nothing expires, a listing that
+    returns after any pause goes on where it was, and a scan may come
+    however late. A repeated batch replaces its own files.
+    """
 
+    def each(batch: DataFrame, batch_id: int) -> None:
+        scans = batch.withColumn("scan_date", F.to_date("scan_ts"))
+        new = first_wins(scans, ["listing_id", "scan_date"], F.col("seq").desc()).select(
+            "listing_id", "scan_date", "seq", "ask_unit"
+        )
+        version_before(spark, folder + "/state", batch_id)
+        days, _ = _all_days(spark, folder + "/days", new, batch_id, ["listing_id"])
+        fold_prices(days).write.mode("overwrite").parquet(snapshot_path(folder + "/state", batch_id))
 
-def track_prices(scans: DataFrame, grace_days: int = config.INACTIVE_GRACE_DAYS) -> DataFrame:
-    """scans(listing_id, scan_ts, ask_unit, seq) → a state row per update.
+    return each
 
-    The state of a listing is seven numbers. A timer on event time reports a
-    listing as inactive once the watermark passes its last sighting by the
-    grace period. The newest row of a listing has the highest ``scan_count``.
-    """
-    day_ms = 86_400_000
-
-    def update(
-        key: tuple, frames: Iterator[pd.DataFrame], held: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        state = tuple(held.get) if held.exists else None
-        if held.hasTimedOut:
-            held.remove()
-            yield _progress_row(key[0], state, config.INACTIVE)
-            return
-        last_of_day: dict[int, tuple] = {}
-        for frame in frames:
-            days = (frame["scan_ts"] - pd.Timestamp(_EPOCH)).dt.days
-            newest = frame.assign(day=days).sort_values("seq").drop_duplicates("day", keep="last")
-            for day, seq, price in zip(newest["day"], newest["seq"], newest["ask_unit"]):
-                if day not in last_of_day or last_of_day[day][0] <= seq:
-                    last_of_day[day] = (seq, None if pd.isna(price) else float(price))
-        for day in sorted(last_of_day):
-            state = _advance(state, int(day), last_of_day[day][1])
-        held.update(state)
-        ends = (state[1] + grace_days) * day_ms
-        held.setTimeoutTimestamp(max(ends, held.getCurrentWatermarkMs() + 1))
-        yield _progress_row(key[0], state, config.ACTIVE)
 
+def tracked_prices(
+    spark: SparkSession, folder: str, grace_days: int = config.INACTIVE_GRACE_DAYS
+) -> DataFrame:
+    """Newest state of every listing; inactive when the newest day of all is past its grace period."""
+    last = max(stored_versions(spark, folder + "/state"))
+    states = read_versions(spark, folder + "/state", last)
+    newest = states.agg(F.max("last_seen")).scalar()
+    gone = F.datediff(newest, F.col("last_seen")) >= grace_days
     return (
-        scans.withWatermark("scan_ts", "0 seconds")
-        .groupBy("listing_id")
-        .applyInPandasWithState(
-            update, _PROGRESS, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        first_wins(states, ["listing_id"], F.col("version").desc())
+        .drop("version")
+        .withColumn("status", F.when(gone, config.INACTIVE).otherwise(config.ACTIVE))
     )
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stallbook import config
-from stallbook.operators import dashboard as B, enrich as E, matching as M, state as S
+from stallbook.operators import dashboard as B, enrich as E, extraction as X, matching as M, state as S
 from stallbook.schemas import LISTING
 from stallbook.sources import tables as T
 from stallbook.streaming import jobs as J
@@ -264,16 +264,68 @@ def test_store_lifetime(spark):
 # --- streams ----------------------------------------------------------------------------------------
 
 
-def test_inactivity_timer(spark, tmp_path):
-    rows = [("a", "2024-01-01", 10.0, 1), ("b", "2024-01-01", 10.0, 2), ("b", "2024-01-30", 12.0, 3)]
-    df = spark.createDataFrame(rows, "listing_id string, d string, ask_unit double, seq bigint")
-    df = df.select("listing_id", F.to_timestamp("d").alias("scan_ts"), "ask_unit", "seq")
-    for day in ("2024-01-01", "2024-01-30"):
-        df.where(F.to_date("scan_ts") == day).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-        J.start(J.track_prices(stream), f"{tmp_path}/checkpoint", f"{tmp_path}/out").awaitTermination()
-    got = {(r.listing_id, r.scan_count, r.status, r.price_prev7) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {("a", 1, "aktiv", None), ("b", 1, "aktiv", None), ("a", 1, "inaktiv", None), ("b", 2, "aktiv", 10.0)}
+def price_stream(spark, base, batches):
+    for rows in batches:
+        df = spark.createDataFrame(rows, "listing_id string, d string, ask_unit double, seq bigint")
+        df = df.select("listing_id", F.to_timestamp("d").alias("scan_ts"), "ask_unit", "seq")
+        df.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{base}/in")
+        J.start(stream, f"{base}/checkpoint", each=J.track_prices(spark, f"{base}/out")).awaitTermination()
+    return {(r.listing_id, r.scan_count, r.status, r.price_prev7) for r in J.tracked_prices(spark, f"{base}/out").collect()}
+
+
+def test_inactivity(spark, tmp_path):
+    batches = [[("a", "2024-01-01", 10.0, 1), ("b", "2024-01-01", 10.0, 2)], [("b", "2024-01-30", 12.0, 3)]]
+    assert price_stream(spark, tmp_path, batches) == {("a", 1, "inaktiv", None), ("b", 2, "aktiv", 10.0)}
+
+
+def test_stream_keeps_late_and_returning_listings(spark, tmp_path):
+    batches = [
+        [("a", "2024-01-10", 5.0, 1), ("c", "2024-01-10 08:00:00", 7.0, 2)],
+        [("b", "2024-01-09", 9.0, 3), ("c", "2024-01-10 20:00:00", 8.0, 4)],  # late; a day in two parts
+        [("a", "2024-03-11", 6.0, 5)],  # after the grace period
+    ]
+    assert price_stream(spark, tmp_path, batches) == {("a", 2, "aktiv", 5.0), ("b", 1, "inaktiv", None), ("c", 1, "inaktiv", None)}
+
+
+def test_missing_snapshot_is_an_error(spark, tmp_path):
+    with pytest.raises(RuntimeError):
+        J.version_before(spark, str(tmp_path), 7)
+    assert J.version_before(spark, str(tmp_path), 0) is None
+    for v in (0, 5):
+        spark.range(1).write.parquet(J.snapshot_path(str(tmp_path), v))
+    assert J.version_before(spark, str(tmp_path), 7) == 5
+    with pytest.raises(RuntimeError):  # a new checkpoint on an old folder
+        J.version_before(spark, str(tmp_path), 0)
+
+
+def test_late_day_does_not_set_back(spark):
+    queue = spark.createDataFrame([], "listing_id string")
+    scans = lambda total, day: spark.createDataFrame([(*row("a", total), day)], BATCH + ", scan_date date")
+    late = DAY - dt.timedelta(days=8)
+    first = S.conform(S.merge_scans(empty(spark), scans(100.0, DAY), queue, E.venue_dimension(spark), DAY).table)
+    got = S.merge_scans(first, scans(60.0, late), queue, E.venue_dimension(spark), DAY).table.first()
+    assert (got.last_seen, got.ask_total, got.price_current, got.scan_count) == (DAY, 100.0, 50.0, 1)
+
+
+def test_one_call_per_advert(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(prompt):
+        calls.add(1)
+        return '{"events":[{"event_name":"A","city":"","ask_total":10}]}'
+
+    cols = "listing_id listing_url title price_raw body seller_type seller_id seller_name member_since".split()
+    ads = [(str(i), "u", "Konzert Tickets", "10", "Konzert", "Privat", "s", "n", "") for i in (1, 2, 3, 4, 1, 2)]
+    df = spark.createDataFrame(ads, cols).withColumns(
+        {"posted_on": F.lit(None).cast("date"), "scraped_at": F.lit("2024-01-01").cast("timestamp")})
+    fields = X.finish_events(X.answered_events(X.run_extractors(df.withColumn("prompt", F.col("title")), [("m", model)]), [("m", model)], DAY), df, E.venue_dimension(spark)).drop("listing_id").schema
+    order = sorted(fields, key=lambda f: f.name != "event_no")
+    ddl = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in order)
+    store = spark.createDataFrame([], f"listing_id STRING, events ARRAY<STRUCT<{ddl}>>")
+    events, entries = X.parse_incremental(df, store, [("m", model)], E.venue_dimension(spark), DAY, str(tmp_path))
+    assert events.count() == 4 and entries.count() == 4 and events.count() == 4
+    assert calls.value == 4
 
 
 def test_missing_table_is_empty(spark):
