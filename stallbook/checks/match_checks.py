@@ -175,7 +175,7 @@ normal AS (SELECT p_partkey || '|' || p_name AS query_id, CASE p_partkey % 4 WHE
   CASE WHEN p_partkey % 4 <> 0 THEN make_date(1995 + p_partkey % 7, 1, p_partkey % 9 + 1) END AS event_date,
   CASE WHEN p_partkey % 4 > 1 THEN p_brand END AS venue, CASE WHEN p_partkey % 4 > 1 THEN 'NATION_' || p_partkey % 25 END AS city,
   CASE p_partkey % 4 WHEN 0 THEN (p_partkey % 101) / 100.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.7 ELSE 0.75 END AS source_score, p_partkey
-  FROM part, range(5) t(pos) WHERE p_partkey % 3 <> 0 AND p_partkey % 10 <> 0)
+  FROM part, range(6) t(pos) WHERE p_partkey % 3 <> 0 AND p_partkey % 10 <> 0)
 """
 
 
@@ -184,6 +184,13 @@ def normalise(spark, sf_dir):
     return M.normalise_responses(responses(spark, sf_dir)).withColumn("event_date", F.col("event_date").cast("string"))
 
 
+@check("match_normalise_first", f"WITH {NORMAL_SQL} SELECT query_id, source, cand_seq, event_name, CAST(event_date AS VARCHAR) AS event_date, venue, city, source_score FROM normal WHERE cand_seq < 5")
+def normalise_first(spark, sf_dir):
+    """The first candidates of a response only."""
+    df = M.normalise_responses(responses(spark, sf_dir), limit=config.CANDIDATES_PER_QUERY)
+    return df.withColumn("event_date", F.col("event_date").cast("string"))
+
+
 ANSWERED_SQL = "answered AS (SELECT query_id, source FROM queries, (VALUES ('musicbrainz'), ('wikidata'), ('songkick'), ('bandsintown')) s(source) WHERE length(event_name) % 3 <> 0)"
 LAYER = "CASE source WHEN 'musicbrainz' THEN 1 WHEN 'wikidata' THEN 2 WHEN 'songkick' THEN 3 ELSE 4 END"
 STATUS_SQL = f"""

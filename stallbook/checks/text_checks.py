@@ -142,13 +142,29 @@ def scrub(spark, sf_dir):
 
 @check(
     "text_context",
+    f"""WITH {SOURCE_SQL}, {STRIP_SQL}, c AS (SELECT s.*, 'Titel: ' || regexp_replace(title, '{INJECTION}', '[ENTFERNT]', 'g')
+        || E'\\nPreis: ' || price_raw || E'\\n\\nBeschreibung:\\n' || regexp_replace(t.body, '{INJECTION}', '[ENTFERNT]', 'g') AS context
+      FROM src s JOIN stripped t USING (id))
+    SELECT title, 'Analyse: ' || context AS prompt, 'Titel: ' || title || E'\\nPreis: ' || price_raw || E'\\n\\n' || body AS context_v1
+    FROM c""",
+)
+def context(spark, sf_dir):
+    parts = (F.col("title"), F.col("price_raw"), F.col("body"))
+    return ads_source(spark, sf_dir).select(
+        "title", T.build_prompt(T.build_context(*parts), "Analyse: {text}").alias("prompt"),
+        T.build_context_v1(*parts).alias("context_v1"),
+    )
+
+
+@check(
+    "text_context_cut",
     f"""WITH {SOURCE_SQL}, {STRIP_SQL}, c AS (SELECT s.*, 'Titel: ' || regexp_replace(title, '{INJECTION}', '[ENTFERNT]', 'g')
         || E'\\nPreis: ' || price_raw || E'\\n\\nBeschreibung:\\n' || regexp_replace(t.body[1:40], '{INJECTION}', '[ENTFERNT]', 'g') AS context
       FROM src s JOIN stripped t USING (id))
     SELECT title, 'Analyse: ' || context AS prompt, 'Titel: ' || title || E'\\nPreis: ' || price_raw || E'\\n\\n' || body[1:40] AS context_v1
     FROM c""",
 )
-def context(spark, sf_dir):
+def context_cut(spark, sf_dir):
     parts = (F.col("title"), F.col("price_raw"), F.col("body"))
     return ads_source(spark, sf_dir).select(
         "title", T.build_prompt(T.build_context(*parts, 40), "Analyse: {text}").alias("prompt"),

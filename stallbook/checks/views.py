@@ -10,17 +10,9 @@ AS_OF = dt.date(1998, 12, 1)
 SCANS_AS_OF = dt.date(2024, 1, 31)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """A test table. The large ones are single row groups, which one task would read
-    and carry through the whole query: when a scan has fewer splits than cores its
-    rows are spread. A table with enough splits is read as it is.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    large = name in ("lineitem", "orders", "events", "documents", "pages")
-    if spread and large and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, df.columns[0])
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table as it is stored."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _day(c):
@@ -31,7 +23,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing row per line item; ids repeat, ``seq`` orders the rows."""
     li = table(spark, sf_dir, "lineitem")
     o, p, s, n = (
-        table(spark, sf_dir, t, spread=False) for t in ("orders", "part", "supplier", "nation")
+        table(spark, sf_dir, t) for t in ("orders", "part", "supplier", "nation")
     )
     joined = (
         li.join(o, li.l_orderkey == o.o_orderkey)

@@ -69,10 +69,11 @@ def scrub_injections(text: Column) -> Column:
 
 
 def build_context(
-    title: Column, price_raw: Column, body: Column, max_chars: int = config.CONTEXT_CHARS
+    title: Column, price_raw: Column, body: Column, max_chars: int | None = None
 ) -> Column:
-    """Model input: title, price, body. The body is cut first and scrubbed after."""
-    cut = F.substring(strip_nav_prefix(text_or_empty(body)), 1, max_chars)
+    """Model input: title, price, body. The body is whole, or cut first and scrubbed after
+    where a model needs a bound (``config.CONTEXT_CHARS``)."""
+    cut = _upto(strip_nav_prefix(text_or_empty(body)), max_chars)
     return F.concat(
         F.lit("Titel: "), scrub_injections(text_or_empty(title)),
         F.lit("\nPreis: "), text_or_empty(price_raw),
@@ -81,15 +82,19 @@ def build_context(
 
 
 def build_context_v1(
-    title: Column, price_raw: Column, body: Column, max_chars: int = config.CONTEXT_CHARS_V1
+    title: Column, price_raw: Column, body: Column, max_chars: int | None = None
 ) -> Column:
     """Older model input: nothing is stripped or scrubbed."""
     return F.concat(
         F.lit("Titel: "), text_or_empty(title), F.lit("\nPreis: "), text_or_empty(price_raw),
-        F.lit("\n\n"), F.substring(text_or_empty(body), 1, max_chars),
+        F.lit("\n\n"), _upto(text_or_empty(body), max_chars),
     )
 
 
+def _upto(text: Column, max_chars: int | None) -> Column:
+    return text if max_chars is None else F.substring(text, 1, max_chars)
+
+
 def build_prompt(context: Column, template: str) -> Column:
     """``template`` with its ``{text}`` placeholder replaced."""
     return F.replace(F.lit(template), F.lit("{text}"), context)

@@ -308,7 +308,7 @@ def _body_list(path: str) -> Column:
     )
 
 
-def normalise_musicbrainz(r: DataFrame, limit: int = config.CANDIDATES_PER_QUERY) -> DataFrame:
+def normalise_musicbrainz(r: DataFrame, limit: int | None = None) -> DataFrame:
     """Artists: a name and a score in percent, neither date nor city."""
     return _candidates(
         r, _body_list("$.artists"), limit,
@@ -318,7 +318,7 @@ def normalise_musicbrainz(r: DataFrame, limit: int = config.CANDIDATES_PER_QUERY
     )
 
 
-def normalise_wikidata(r: DataFrame, limit: int = config.CANDIDATES_PER_QUERY) -> DataFrame:
+def normalise_wikidata(r: DataFrame, limit: int | None = None) -> DataFrame:
     return _candidates(
         r, _body_list("$.results.bindings"), limit,
         event_name=_text("itemLabel.value"), event_date=date_prefix(_e("dateLabel.value")),
@@ -327,7 +327,7 @@ def normalise_wikidata(r: DataFrame, limit: int = config.CANDIDATES_PER_QUERY) -
     )
 
 
-def normalise_songkick(r: DataFrame, limit: int = config.CANDIDATES_PER_QUERY) -> DataFrame:
+def normalise_songkick(r: DataFrame, limit: int | None = None) -> DataFrame:
     return _candidates(
         r, _body_list("$.resultsPage.results.event"), limit,
         event_name=_text("displayName"), event_date=strict_date(_e("start.date")),
@@ -336,7 +336,7 @@ def normalise_songkick(r: DataFrame, limit: int = config.CANDIDATES_PER_QUERY) -
     )
 
 
-def normalise_bandsintown(r: DataFrame, limit: int = config.CANDIDATES_PER_QUERY) -> DataFrame:
+def normalise_bandsintown(r: DataFrame, limit: int | None = None) -> DataFrame:
     """Dates of one artist: candidates carry the name that was asked for."""
     return _candidates(
         r, _body_list("$"), limit,
@@ -355,11 +355,12 @@ NORMALISERS: dict[str, Normaliser] = {
 
 
 def normalise_responses(
-    responses: DataFrame, normalisers: dict[str, Normaliser] | None = None
+    responses: DataFrame, normalisers: dict[str, Normaliser] | None = None, limit: int | None = None
 ) -> DataFrame:
-    """responses(query_id, query_name, source, ok, body) → candidates, first five per query.
+    """responses(query_id, query_name, source, ok, body) → candidates.
 
-    ``cand_seq`` is the position in the response, which is the tie order.
+    ``cand_seq`` is the position in the response, which is the tie order;
+    ``limit`` keeps the first ones only (``config.CANDIDATES_PER_QUERY``).
     """
     parts = [
         fn(responses.where(F.col("ok") & (F.col("source") == source)))
@@ -368,6 +369,8 @@ def normalise_responses(
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if limit is not None:
+        out = out.where(F.col("pos") < limit)
     return out.withColumnRenamed("pos", "cand_seq")
 
 
