@@ -236,6 +236,26 @@ def watchlist(spark, sf_dir):
     return L.read_watchlist(spark, folder).drop("line_no")
 
 
+@check(
+    "src_watchlist_json",
+    """SELECT p_name AS event_name, CASE WHEN p_partkey % 4 <> 3 THEN CAST(p_retailprice AS DOUBLE) END AS ref_price,
+      CASE WHEN p_partkey % 3 = 0 THEN 'https://x.example/' || p_partkey END AS ref_link FROM part WHERE p_partkey % 7 <> 0""",
+)
+def watchlist_json(spark, sf_dir):
+    """Settings documents, one per line, each with the entry of a part and one without a name."""
+    folder = shared_folder(spark) + "/settings"
+    k = F.col("p_partkey")
+    price = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
+    entry = F.struct(
+        F.when(k % 7 != 0, F.concat(F.lit(" "), F.col("p_name"))).alias("event_name"),
+        F.when(k % 4 == 3, "gratis").otherwise(price).alias("ovp_preis"),
+        F.when(k % 3 == 0, F.concat(F.lit("https://x.example/"), k.cast("string"))).otherwise("").alias("ovp_link"),
+    )
+    nameless = F.struct(F.lit("").alias("event_name"), F.lit("1").alias("ovp_preis"), F.lit("").alias("ovp_link"))
+    table(spark, sf_dir, "part").select(F.array(entry, nameless).alias("watchlist")).write.json(folder)
+    return L.read_watchlist_json(spark, folder, one_per_file=False).drop("line_no")
+
+
 @check(
     "src_provider_urls",
     "SELECT event_name, provider_ord, replace(template, '{event}', replace(event_name, ' ', '+')) AS url FROM (SELECT DISTINCT p_name AS event_name FROM part), (VALUES "

@@ -48,6 +48,23 @@ def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
     return parse_watchlist(lines)
 
 
+def read_watchlist_json(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """The same table from settings documents with a ``watchlist`` list.
+
+    Entries have event_name, ovp_preis and ovp_link; one without a name drops out,
+    a price that is no number is no price, a blank link is no link.
+    """
+    schema = "watchlist ARRAY<STRUCT<event_name STRING, ovp_preis STRING, ovp_link STRING>>"
+    docs = spark.read.schema(schema).option("multiLine", one_per_file).json(path)
+    name, link = strip(F.col("e.event_name")), strip(F.col("e.ovp_link"))
+    entries = docs.select(F.explode("watchlist").alias("e"))
+    return entries.where(name != "").select(
+        F.monotonically_increasing_id().alias("line_no"), name.alias("event_name"),
+        strict_double(F.replace("e.ovp_preis", F.lit(","), F.lit("."))).alias("ref_price"),
+        F.when(link != "", link).alias("ref_link"),
+    )
+
+
 def provider_urls(
     events: DataFrame, templates: Sequence[str] = config.PROVIDER_TEMPLATES
 ) -> DataFrame:
