@@ -117,7 +117,11 @@ def apply_ref_prices(events: DataFrame, store: DataFrame) -> DataFrame:
     )
     todo = resolvable(F.col("event_name"))
     own = F.col("ref_price")
-    key = F.when(todo, ref_price_key(F.col("event_name"), F.col("event_date")))
+    # events without a name to look up must not meet in one partition either
+    nobody = F.coalesce("listing_id", F.lit("")) if "listing_id" in events.columns else F.lit("")
+    key = F.when(todo, ref_price_key(F.col("event_name"), F.col("event_date"))).otherwise(
+        F.concat(F.lit("\u0001"), nobody)
+    )
     joined = events.withColumn("ref_key", key).join(entry, "ref_key", "left")
     old_source = F.col("ref_source") if "ref_source" in events.columns else F.lit(None).cast("string")
     old_sold = F.col("sold_out") if "sold_out" in events.columns else F.lit(None).cast("string")
