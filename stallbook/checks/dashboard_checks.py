@@ -248,7 +248,7 @@ def verification(spark, sf_dir):
       CAST(NULL AS VARCHAR) AS venue_type, CAST(NULL AS INTEGER) AS venue_capacity FROM r WHERE rk = 1""",
 )
 def first_row(spark, sf_dir):
-    return shown(D.grouped(rows(spark, sf_dir), D.representatives()))
+    return shown(D.representatives(rows(spark, sf_dir)))
 
 
 FULL_SQL = f"""WITH {ROWS_SQL}, {EXPLODED_SQL}, {top('seller_name', 'ts')}, {top('confidence', 'tc')},

@@ -273,11 +273,36 @@ ids AS (SELECT listing_id, count(*) FILTER (name <> 'Unbekannt') AS clean, count
       CAST(sum(n) FILTER (clean > 0) AS BIGINT) AS kept FROM ids""",
 )
 def trash(spark, sf_dir):
+    return trash_split(spark, sf_dir).counts()
+
+
+def trash_split(spark, sf_dir):
     dirty = listings(spark, sf_dir).withColumn(
         "event_name", F.when(F.col("seq.l_suppkey") % 5 == 0, "Unbekannt").otherwise(F.col("event_name"))
     )
     old = dirty.where(F.col("listing_id").cast("bigint") % 4 == 0).select("listing_id").distinct()
-    return S.split_trash(dirty, old).counts()
+    return S.split_trash(dirty, old)
+
+
+@check(
+    "trash_rows",
+    f"""WITH {LISTINGS_SQL}, {DIRTY_SQL}, r AS (SELECT d.*, clean, row_number() OVER (PARTITION BY d.listing_id ORDER BY s1, s2, s3, s4, s5) AS rk
+      FROM dirty d JOIN ids USING (listing_id))
+    SELECT 'moved' AS part, listing_id, name AS event_name, category, ask_total FROM r WHERE clean = 0 AND rk = 1 AND CAST(listing_id AS BIGINT) % 4 <> 0
+    UNION ALL SELECT 'kept', listing_id, name, category, ask_total FROM r WHERE clean > 0""",
+)
+def trash_rows(spark, sf_dir):
+    split = trash_split(spark, sf_dir)
+    columns = ("listing_id", "event_name", "category", "ask_total")
+    moved, kept = (df.select(F.lit(part).alias("part"), *columns) for part, df in (("moved", split.moved), ("kept", split.kept)))
+    return moved.unionByName(kept)
+
+
+def finished_run(spark, sf_dir):
+    return runs.finish_run(
+        full_history(spark, sf_dir), batch(spark, sf_dir), review(spark, sf_dir), full_history(spark, sf_dir).where("false"),
+        part_venues(spark, sf_dir), SCAN, shared_folder(spark),
+    )
 
 
 # --- whole runs --------------------------------------------------------------------------------------
@@ -296,15 +321,33 @@ UNION ALL SELECT 'dashboard', count(*) FROM (SELECT DISTINCT lower(coalesce(b.ev
 
 @check("state_finish_run", FINISH_SQL)
 def finish_run(spark, sf_dir):
-    archive_table = full_history(spark, sf_dir).where("false")
-    done = runs.finish_run(
-        full_history(spark, sf_dir), batch(spark, sf_dir), review(spark, sf_dir), archive_table, part_venues(spark, sf_dir), SCAN,
-        shared_folder(spark),
-    )
+    done = finished_run(spark, sf_dir)
     boards = done.dashboard.agg(F.count("*").alias("n")).select(F.lit("dashboard").alias("action"), "n")
     return done.counts.union(boards)
 
 
+@check(
+    "run_archive",
+    f"""WITH {MERGE_SQL} SELECT coalesce(b.listing_id, e.listing_id) AS listing_id, coalesce(b.event_name, e.event_name) AS event_name,
+      CAST(coalesce(b.event_date, e.event_date) AS VARCHAR) AS event_date, coalesce(b.category, e.category) AS category
+    FROM e FULL JOIN b ON e.listing_id = b.listing_id WHERE coalesce(b.event_date, e.event_date) < DATE '2001-11-01'""",
+)
+def run_archive(spark, sf_dir):
+    done = finished_run(spark, sf_dir)
+    return text_dates(done.archive.select("listing_id", "event_name", "event_date", "category"), ("event_date",))
+
+
+@check(
+    "run_listings",
+    f"""WITH {MERGE_SQL} SELECT coalesce(b.listing_id, e.listing_id) AS listing_id, coalesce(b.event_name, e.event_name) AS event_name,
+      CAST(coalesce(b.event_date, e.event_date) AS VARCHAR) AS event_date, coalesce(b.category, e.category) AS category
+    FROM e FULL JOIN b ON e.listing_id = b.listing_id""",
+)
+def run_listings(spark, sf_dir):
+    done = finished_run(spark, sf_dir)
+    return text_dates(done.listings.select("listing_id", "event_name", "event_date", "category"), ("event_date",))
+
+
 def run_inputs(spark, sf_dir):
     from stallbook.checks import response_checks as RC
     from stallbook.operators.refprice import first_provider_hit

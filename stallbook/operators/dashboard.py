@@ -1,7 +1,7 @@
 """Market dashboard: one row per event, date and category.
 
-Two aggregations feed it. ``measures`` are counts, extremes, exact decimal sums
-and the first row of a group. ``value_counts`` counts the distinct values of the
+Three tables feed it. ``measures`` are counts, extremes and exact decimal sums.
+``representatives`` holds the first row of a group. ``value_counts`` counts the distinct values of the
 columns that need a median, a mode or a top value; each key carries the value,
 so a group with a third of all rows spreads over as many keys as it has values
 and is combined per task first.
@@ -18,6 +18,7 @@ from stallbook.functions import pricing
 from stallbook.functions.casting import no_nan, strict_double
 from stallbook.functions.keys import event_key, strip
 from stallbook.functions.pricing import exact_mean, fine
+from stallbook.operators.pages import first_wins
 from stallbook.schemas import DASHBOARD_HEADERS
 
 GROUP = ("event_key", "event_date", "category")
@@ -139,10 +140,13 @@ def verified_share() -> tuple[list[Column], dict[str, Column]]:
     return aggs, {"verif_confirmed_pct": percent(F.col("_confirmed"), F.col("n_listings"))}
 
 
-def representatives(seq: str = "seq") -> tuple[list[Column], dict[str, Column]]:
-    """Values of the first row of the group, NULLs included."""
-    first = F.min_by(F.struct(*REPRESENTATIVE), F.col(seq)).alias("_first")
-    return [first], {c: F.col(f"_first.{c}") for c in REPRESENTATIVE}
+def representatives(prepared: DataFrame, seq: str = "seq") -> DataFrame:
+    """Values of the first row of every group, NULLs included.
+
+    Apart from the measures, which stay a hash aggregate; rows are cut to one per group and task.
+    """
+    rows = prepared.select(*GROUP, *REPRESENTATIVE, F.col(seq).alias("_seq"))
+    return first_wins(rows, list(GROUP), F.col("_seq").asc_nulls_last()).drop("_seq")
 
 
 def grouped(prepared: DataFrame, *parts: tuple[list[Column], dict[str, Column]]) -> DataFrame:
@@ -193,18 +197,31 @@ def value_counts(prepared: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 def medians(counts: DataFrame) -> DataFrame:
     """Exact median per (group, kind) of the numeric values, from their counts.
 
-    Ranks come from a running sum over distinct values, so the median costs the
-    number of different prices, not the number of rows, and may spill.
+    Values are first counted in buckets of a 1024th of their natural logarithm, in ascending order.
+    Only the buckets of the middle ranks, two at most, are then ranked value by value: however many
+    different prices a group has, no task orders all of them.
     """
     keys = [*GROUP, "kind"]
-    whole = W.partitionBy(*keys)
-    running = whole.orderBy("num").rowsBetween(W.unboundedPreceding, W.currentRow)
     # reading n keeps the filter above the aggregation, so both users share its shuffle
     numeric = F.when(F.col("n") > 0, F.col("num")).isNotNull()
-    ranked = counts.where(numeric).select(
-        *keys, "num", "n", F.sum("n").over(running).alias("upto"), F.sum("n").over(whole).alias("total")
+    bucket = F.signum("num") * F.rint(F.log1p(F.abs("num")) * 1024)
+    values = counts.where(numeric).select(*keys, "num", "n", bucket.alias("bucket"))
+    whole = W.partitionBy(*keys)
+    upto = whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = values.groupBy(*keys, "bucket").agg(F.sum("n").alias("held")).select(
+        *keys, "bucket", (F.sum("held").over(upto) - F.col("held")).alias("before"), "held", F.sum("held").over(whole).alias("total")
     )
     low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    middle = sums.where((F.col("before") < high) & (F.col("before") + F.col("held") >= low)).select(
+        *[F.col(c).alias("_m_" + c) for c in (*keys, "bucket")], "before", "total"
+    )
+    same = F.lit(True)
+    for c in (*keys, "bucket"):
+        same = same & F.col(c).eqNullSafe(F.col("_m_" + c))
+    running = W.partitionBy(*keys, "bucket").orderBy("num").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = values.join(middle, same).select(
+        *keys, "num", "total", (F.col("before") + F.sum("n").over(running)).alias("upto"), "n"
+    )
     before = F.col("upto") - F.col("n")
 
     def at(rank: Column) -> Column:
@@ -278,10 +295,8 @@ def market_dashboard(
 ) -> DataFrame:
     """All 36 columns, in the order of the dashboard."""
     rows = prepare(drop_junk(listings) if filter_junk else listings)
-    measures = grouped(
-        rows, price_stats(), commercial_share(), recency(as_of), movement(), verified_share(),
-        representatives(seq),
-    )
+    measures = grouped(rows, price_stats(), commercial_share(), recency(as_of), movement(), verified_share())
+    measures = join_groups(measures, representatives(rows, seq))
     counts = value_counts(rows, ("ref", "manual", "seller", "confidence", "status", "source"))
     joined = join_groups(measures, distributions(counts))
     full = with_group_margins(with_group_ref_price(joined)).withColumn(

@@ -18,11 +18,21 @@ def run_progress(
 ) -> DataFrame:
     """Per parsed advert: position, errors so far, mean of the last known durations.
 
-    A run is cut into chunks of ``chunk`` consecutive ``seq`` values. Offsets
-    come from per-chunk counts; the last durations of a chunk are copied into
-    the next ones that need them, so a run of any length spreads over tasks.
+    The span of ``seq`` (numbers, dates or timestamps) is cut into equal parts, as
+    many as the rows make chunks of ``chunk`` rows; so sparse ids and timestamps
+    give no more parts than close ones. Offsets come from per-part counts; the last
+    durations of a block are copied into the next one that needs them, so a run of
+    any length spreads over tasks. Rows without ``seq`` come first.
     """
-    parts = rows.withColumn("_chunk", F.floor(F.col(seq) / chunk))
+    kind = rows.schema[seq].dataType.simpleString()
+    place = F.col(seq).cast("timestamp").cast("double") if kind in ("date", "timestamp", "timestamp_ntz") else F.col(seq).cast("double")
+    span = rows.agg(F.struct(
+        F.min(place).alias("low"), ((F.max(place) - F.min(place)) / F.ceil(F.count("*") / chunk)).alias("width")
+    )).scalar()
+    part = F.floor(F.try_divide(place - F.col("_span.low"), F.col("_span.width")))
+    parts = rows.withColumn("_span", span).withColumn(
+        "_chunk", F.when(F.col(seq).isNull(), -1).otherwise(F.coalesce(part, F.lit(0)))
+    ).drop("_span")
     counts = parts.groupBy(run, "_chunk").agg(
         F.count("*").alias("_rows"), F.count(duration).alias("_known"),
         F.count_if(F.col(failed)).alias("_errors"),

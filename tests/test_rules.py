@@ -213,6 +213,55 @@ def test_run_progress_is_independent_of_the_chunk(spark):
     assert whole == parts and whole[-1].progress == "199/199 (100%)"
 
 
+def test_run_progress_of_sparse_places(spark):
+    """Timestamps far apart, uneven, and one missing: as many parts as the rows need, and the same result."""
+    start = dt.datetime(2026, 1, 1)
+    rows = [("r", None if i == 0 else start + dt.timedelta(days=i * i), None if i % 4 == 0 else i, i % 5 == 0) for i in range(150)]
+    df = spark.createDataFrame(rows, "run_id string, seq timestamp, duration_ms long, failed boolean")
+    columns = ("seq", "current", "errors", "avg_duration_ms", "progress")
+    whole = run_progress(df, chunk=100_000).select(*columns).orderBy("seq").collect()
+    parts = run_progress(df, chunk=13).select(*columns).orderBy("seq").collect()
+    assert whole == parts and [r.current for r in parts] == list(range(1, 151))
+    assert run_progress(df.where("false")).collect() == []
+    assert run_progress(df.where("seq IS NULL")).select("current").first().current == 1
+
+
+def test_medians_of_many_prices_in_one_group(spark):
+    import random
+    import statistics
+
+    from stallbook.operators.dashboard import medians
+
+    random.seed(4)
+    sets = {
+        "spread": [random.uniform(-500, 9000) for _ in range(1501)], "close": [100 + i / 1e6 for i in range(800)],
+        "even": [1.0, 2.0, 1000.0, 1e300], "ties": [5.0] * 7 + [6.0] * 7, "zero": [-0.0, 0.0, -3.5], "one": [7.25],
+    }
+    rows = [(k, None, "c", "ref", v, 1) for k, vs in sets.items() for v in vs]
+    df = spark.createDataFrame(rows, "event_key string, event_date date, category string, kind string, num double, n long")
+    counts = df.groupBy("event_key", "event_date", "category", "kind", "num").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    got = {r.event_key: r["median"] for r in medians(counts).collect()}
+    assert got == {k: statistics.median(v) for k, v in sets.items()}
+
+
+def test_measures_of_the_dashboard_are_hashed(spark):
+    """No sort-based aggregation over the listings themselves."""
+    import contextlib
+    import io
+
+    from stallbook.operators.dashboard import market_dashboard
+
+    listing = "event_name string, event_date date, category string, ask_total double, quantity int, ask_unit double, seq long"
+    df = spark.createDataFrame([("A", None, "c", 10.0, 2, None, 1), ("a", None, "c", None, None, 8.0, 0)], listing)
+    board = market_dashboard(df, dt.date(2026, 1, 1))
+    assert [(r.event_name, r.n_listings) for r in board.collect()] == [("a", 2)]
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        board.explain("simple")
+    sorted_steps = [line for line in out.getvalue().splitlines() if "SortAggregate" in line]
+    assert not [line for line in sorted_steps if "kind" not in line]
+
+
 def test_absurd_numbers_are_missing_and_end_no_job(spark):
     from pyspark.sql import functions as F
 
