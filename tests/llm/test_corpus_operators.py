@@ -14,7 +14,7 @@ import xxhash
 import corpus_pipeline
 import oracle
 from stallbook.llm import (
-    imatch, license_scan, line_dedup, lm_deleted, lsa_decontam, packing, quality_fm, sharding, simhash_trie, suffix_dedup,
+    imatch, license_scan, line_dedup, lm_deleted, lsa_decontam, packing, quality_fm, sharding, shingle_join, simhash_trie, suffix_dedup,
 )
 from stallbook.llm.induced_sort import suffix_array
 from stallbook.llm.queries import CATALOGUE
@@ -291,3 +291,67 @@ def test_pipeline_stages_follow_their_operators(spark):
     last = {r.doc_id for r in corpus_pipeline.packed(spark, docs, SF_DIR).collect()}
     assert last == {r.doc_id for r in docs.collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF_DIR).select("doc_id").distinct().collect()} == last
+
+
+def _word_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i: i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def _first_of_near_copies(rows):
+    """doc_ids that stay when all pairs of a five-word Jaccard similarity of 0.8 are linked."""
+    sets = [_word_shingles(t) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def find(a):
+        while top[a] != a:
+            a = top[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                top[y] = x
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return set(least.values())
+
+
+def _near_copies(rng):
+    """A large group of near copies, chains of edits, an unlike group with one passage, and texts of a few words."""
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    base, passage, texts = words(300), words(40), []
+    for _ in range(80):
+        own = list(base)
+        for at in rng.integers(0, 300, rng.integers(0, 9)):
+            own[at] = f"e{rng.integers(0, 10**9)}"
+        texts.append(own)
+    for _ in range(8):
+        own = words(60)
+        for _ in range(4):
+            own = list(own)
+            own[rng.integers(0, 60)] = f"e{rng.integers(0, 10**9)}"
+            texts.append(own)
+    texts += [passage + words(20) for _ in range(40)] + [words(120) for _ in range(20)] + [["a"], ["a"], ["a", "b"], [], []]
+    order = rng.permutation(len(texts))
+    return [(int(i), " ".join(texts[k])) for i, k in enumerate(order)]
+
+
+def test_pipeline_near_dedup_by_brute_force(spark):
+    docs = corpus_pipeline.read(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = [r.doc_id for r in corpus_pipeline.one_of_near_duplicates(spark, docs, SF_DIR).collect()]
+    assert sorted(got) == sorted(_first_of_near_copies(rows))
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_shingle_join_by_brute_force(spark, monkeypatch, rounds):
+    monkeypatch.setattr(shingle_join, "PIVOTS", rounds)
+    rows = _near_copies(np.random.default_rng(7))
+    docs = spark.createDataFrame([(d, t, None, None, 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in corpus_pipeline.one_of_near_duplicates(spark, docs, SF_DIR).collect()]
+    assert sorted(got) == sorted(_first_of_near_copies(rows))
+    assert corpus_pipeline.one_of_near_duplicates(spark, docs.limit(0), SF_DIR).count() == 0
