@@ -355,3 +355,16 @@ def test_shingle_join_by_brute_force(spark, monkeypatch, rounds):
     got = [r.doc_id for r in corpus_pipeline.one_of_near_duplicates(spark, docs, SF_DIR).collect()]
     assert sorted(got) == sorted(_first_of_near_copies(rows))
     assert corpus_pipeline.one_of_near_duplicates(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+def test_pipeline_rows_without_or_with_repeated_ids(spark):
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").orderBy("item_id").first().text
+    other = lambda k: " ".join(f"{k}{i}" for i in range(80))
+    rows = [(None, f"{other('a')} {item} {other('b')}"), (1, other("c")), (1, f"{other('d')} {item} {other('e')}"), (None, other("f")),
+            (2, other("g")), (2, other("g")), (2, other("h")), (3, other("h")), (None, other("g")), (None, other("f"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = corpus_pipeline.without_benchmark(spark, docs, SF_DIR).collect()
+    assert Counter((r.doc_id, r.text) for r in clean) == Counter(r for r in rows if item not in r[1])
+    left = corpus_pipeline.one_of_near_duplicates(spark, docs, SF_DIR).collect()
+    wanted = [rows[i] for i in (0, 1, 2, 3, 4, 6)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left))) == sorted(map(str, wanted))
