@@ -368,3 +368,20 @@ def test_pipeline_rows_without_or_with_repeated_ids(spark):
     left = corpus_pipeline.one_of_near_duplicates(spark, docs, SF_DIR).collect()
     wanted = [rows[i] for i in (0, 1, 2, 3, 4, 6)]
     assert sorted(map(str, ((r.doc_id, r.text) for r in left))) == sorted(map(str, wanted))
+
+
+def test_every_licence_sentence_and_rule_fires(spark):
+    sentences = license_scan.SENTENCES | license_scan.MORE_SENTENCES
+    rules = [*license_scan.RULES, *license_scan.MORE_RULES]
+    single = [(name, text, f"{text}{end}") for name, texts in sentences.items() for text in texts for end in ("", "\n\nUnlike words.", "\nnext line\n")]
+    wrapped = [(name, text, "// Copyright\n// " + text.replace(" it ", " it\n// ")) for name, texts in sentences.items() for text in texts if ": " in text]
+    cases = single + wrapped
+    whole = [(name, ids, "\n\n".join(sentences[i][0] for i in ids)) for name, ids in rules]
+    texts = [c[2] for c in cases] + [w[2] for w in whole] + ["SPDX-License-Identifier: Foo-1\nMIT", "SPDX-License-Identifier. Then. MIT."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(license_scan.license_scan(rows).collect())
+    for (name, text, _), r in zip(cases, got):
+        assert r.sentence_ids == name, (text, r)
+    for (name, ids, _), r in zip(whole, got[len(cases):]):
+        assert (r.licenses, r.n_unread, r.sentence_ids) == (name, 0, ",".join(ids)), (ids, r)
+    assert [(r.licenses, r.n_unknown > 0) for r in got[-2:]] == [("", True)] * 2
