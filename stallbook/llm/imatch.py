@@ -41,13 +41,19 @@ def _membership(term: Column) -> Column:
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
     """(term, subsets): hashes of the terms within the band, over the whole texts of all rows.
 
-    A term is kept if its share of the rows lies in the band, so there are at most
-    (mean distinct terms of a text) / ``least`` of them, however many rows there are.
+    A term is kept if its share of the different texts lies in the band, so there are at most
+    (mean distinct terms of a text) / ``least`` of them, however many rows there are. Each of k equal
+    texts counts 1 / k; the sums are whole numbers again, and texts are not shuffled for it.
     """
-    n = docs.count()
+    texts = materialise(
+        docs.groupBy(F.xxhash64(whole_text()).alias("_hash")).agg(F.count("*").alias("_copies")), f"{shared_folder(docs.sparkSession)}/texts")
+    n, repeated = texts.count(), texts.where("_copies > 1")
+    small = repeated.count() <= BROADCAST_PARTS
     counts = (
-        docs.select(F.explode(terms(whole_text())).alias("term"))
-        .groupBy(F.xxhash64("term").alias("term")).agg(F.count("*").alias("n"))
+        docs.select(whole_text().alias("text")).withColumn("_hash", F.xxhash64("text"))
+        .join(F.broadcast(repeated) if small else repeated, "_hash", "left")
+        .select(F.explode(terms(F.col("text"))).alias("term"), (1 / F.coalesce("_copies", F.lit(1))).alias("_share"))
+        .groupBy(F.xxhash64("term").alias("term")).agg(F.round(F.sum("_share")).alias("n"))
     )
     return counts.where((F.col("n") >= least * n) & (F.col("n") <= most * n)).select("term", _membership(F.col("term")).alias("subsets"))
 
@@ -55,17 +61,21 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
 def hashes(rows: DataFrame, words: DataFrame, keys: list[str], texts: list[str], carried: list[str]) -> DataFrame:
     """For every row the hashes of its ``texts``: arrays of 1 + SUBSETS numbers, NULL for an empty subset.
 
-    Rows of equal ``keys`` must be one row. The first number belongs to the whole lexicon.
+    Rows of equal ``keys`` must be one row. The first number belongs to the whole lexicon. A text
+    without any term of it has no first number, and a hash of all its terms in place of the others.
     """
     mark = F.lit(None).cast("string")
     sides = F.array(*[
-        F.struct(F.lit(i).alias("side"), F.concat(F.array(mark), terms(F.col(t))).alias("terms")) for i, t in enumerate(texts)
+        F.struct(F.lit(i).alias("side"), terms(F.col(t)).alias("terms")) for i, t in enumerate(texts)
     ])
+    sides = F.transform(sides, lambda x: F.struct(
+        x["side"].alias("side"), F.concat(F.array(mark), x["terms"]).alias("terms"),
+        F.when(F.size(x["terms"]) > 0, F.xxhash64(F.sort_array(F.transform(x["terms"], lambda t: F.xxhash64(t))))).alias("all")))
     # the mark keeps rows without any term: NULL hashes to 42, which the lexicon gets as well
     known = words.unionByName(words.sparkSession.range(1).select(F.xxhash64(mark).alias("term"), F.lit(0).cast("long").alias("subsets")))
     hits = (
         rows.select(*keys, *carried, F.explode(sides).alias("_side"))
-        .select(*keys, *carried, F.col("_side.side").alias("_side"), F.explode("_side.terms").alias("_term"))
+        .select(*keys, *carried, F.col("_side.side").alias("_side"), F.col("_side.all").alias("_all"), F.explode("_side.terms").alias("_term"))
         .withColumn("term", F.xxhash64("_term")).drop("_term")
         .join(F.broadcast(known), "term")
     )
@@ -74,6 +84,7 @@ def hashes(rows: DataFrame, words: DataFrame, keys: list[str], texts: list[str],
         *[F.first(c).alias(c) for c in carried],
         *[F.collect_list(F.when(real & (F.col("_side") == i), F.struct("term", "subsets"))).alias(f"_{t}")
           for i, t in enumerate(texts)],
+        *[F.max(F.when(F.col("_side") == i, F.col("_all"))).alias(f"_{t}_all") for i, t in enumerate(texts)],
     )
     for t in texts:
         ordered = f"_{t}"
@@ -84,13 +95,20 @@ def hashes(rows: DataFrame, words: DataFrame, keys: list[str], texts: list[str],
             masks = F.array(*[F.lit(1 << b).cast("long") for b in bits])
             return F.transform(masks, lambda m: _hash(F.filter(source, lambda x: x["subsets"].bitwiseAND(m) != 0)))
 
-        found = found.withColumn(t, F.concat(
-            F.array(_hash(F.col(ordered))), subset(range(_FINE), ordered), subset(range(_FINE, SUBSETS), f"{ordered}_fine")))
+        instead = F.transform(F.sequence(F.lit(1), F.lit(SUBSETS)), lambda i: _low(F.xxhash64(F.col(f"_{t}_all"), i)))
+        found = found.withColumn(t, F.when(
+            (F.size(ordered) == 0) & F.col(f"{ordered}_all").isNotNull(), F.concat(F.array(F.lit(None).cast("long")), instead),
+        ).otherwise(F.concat(
+            F.array(_hash(F.col(ordered))), subset(range(_FINE), ordered), subset(range(_FINE, SUBSETS), f"{ordered}_fine"))))
     return found.select(*keys, *carried, *texts)
 
 
+def _low(number: Column) -> Column:
+    return number.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+
+
 def _hash(chosen: Column) -> Column:
-    return F.when(F.size(chosen) > 0, F.xxhash64(chosen).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    return F.when(F.size(chosen) > 0, _low(F.xxhash64(chosen)))
 
 
 def text_of(numbers: Column) -> Column:
@@ -130,7 +148,8 @@ def fingerprints_with_edits(docs: DataFrame, least: float = LEAST_SHARE, most: f
     row, by descending doc_id; the next of the last is the first. Rows meet their next one within
     parts of SPAN ids, into which the top row of the part below is copied, so texts are shuffled
     once (twice beyond BROADCAST_PARTS parts). Ties of doc_id follow by text. A NULL text is empty; a row without doc_id has no next one
-    (an empty text instead). A text without lexicon terms has a fingerprint of dashes only.
+    (an empty text instead). A text without lexicon terms has dashes in
+    the first place and then hashes of all its terms; one without any terms has dashes only.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """

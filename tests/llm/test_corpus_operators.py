@@ -385,3 +385,20 @@ def test_every_licence_sentence_and_rule_fires(spark):
     for (name, ids, _), r in zip(whole, got[len(cases):]):
         assert (r.licenses, r.n_unread, r.sentence_ids) == (name, 0, ",".join(ids)), (ids, r)
     assert [(r.licenses, r.n_unknown > 0) for r in got[-2:]] == [("", True)] * 2
+
+
+def test_imatch_with_large_groups_of_copies(spark):
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rest = [f"rest{i % 20}x rest{i} own{i}" for i in range(120)]
+    texts = [words("a", 30)] * 60 + [words("b", 30)] * 60 + rest
+    for rows in (texts, [words("a", 30), words("b", 30), "B0 " + words("b", 30), "", None, "?!"]):
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        got = {r.doc_id: r for r in imatch.fingerprints_with_edits(docs).collect()}
+        terms = [frozenset((t or "").replace("?!", "").lower().split()) for t in rows]
+        for i, a in enumerate(terms):
+            for j, b in enumerate(terms[:i]):
+                assert (got[i].fingerprint == got[j].fingerprint) == (a == b)
+        assert all((got[i + 1].near_next == 1) == (a == b) for i, (a, b) in enumerate(zip(terms, terms[1:])))
+    assert got[0].fingerprint[:8] == "-" * 8 != got[0].fingerprint[8:16]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert imatch.lexicon(docs).count() == 60 + len({w for t in rest for w in t.split() if not w.endswith("x")})
