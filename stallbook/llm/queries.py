@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallbook.checks.catalogue import Catalogue
 from stallbook.llm import (
-    imatch, license_scan, line_dedup, lm_deleted, lsa_decontam, packing, quality_fm, sharding, simhash_trie, suffix_dedup,
+    fill_middle, imatch, license_scan, line_dedup, lm_deleted, lsa_decontam, packing, quality_fm, sharding, simhash_trie, suffix_dedup,
 )
 from stallbook.llm.common import read
 
@@ -67,3 +67,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@CATALOGUE.check("op12_fill_middle", fill_middle.FILL_SQL)
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    digests = [F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256")]
+    return cuts.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
