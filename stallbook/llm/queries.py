@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallbook.checks.catalogue import Catalogue
 from stallbook.llm import (
-    fill_middle, imatch, license_scan, line_dedup, lm_deleted, lsa_decontam, packing, quality_fm, sharding, simhash_trie, suffix_dedup,
+    fill_middle, group_join, imatch, license_scan, line_dedup, lm_deleted, lsa_decontam, packing, quality_fm, sharding, simhash_trie, suffix_dedup,
 )
 from stallbook.llm.common import read
 
@@ -69,6 +69,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@CATALOGUE.check("op11_group_join")
+def op11_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 @CATALOGUE.check("op12_fill_middle", fill_middle.FILL_SQL)
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
