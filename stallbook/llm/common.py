@@ -28,7 +28,7 @@ def numbered(rows: DataFrame, groups: Sequence[str], bucket: Column, order: Sequ
     A group is never sorted in one task. ``bucket`` cuts it into consecutive parts: rows of a
     smaller bucket come first, rows of one bucket are ordered by ``order``. Only the counts per
     group and bucket are summed up in order, so ``bucket`` should have a fixed number of values.
-    NULL groups are groups like any other.
+    Groups and bucket are never NULL, so that one shuffle of the rows serves the place and the join.
     """
     keys = [*groups, "_bucket"]
     rows = rows.withColumn("_bucket", bucket)
@@ -43,7 +43,7 @@ def numbered(rows: DataFrame, groups: Sequence[str], bucket: Column, order: Sequ
     placed = rows.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     same = F.lit(True)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+        same = same & (F.col(k) == F.col(f"_o_{k}"))
     return (
         placed.join(offsets, same)
         .withColumn(name, F.col("_before") + F.col("_place") - 1)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallbook.checks.catalogue import Catalogue
 from stallbook.llm import (
-    fill_middle, group_join, imatch, license_scan, line_dedup, lm_deleted, lsa_decontam, packing, quality_fm, sharding, simhash_trie, suffix_dedup,
+    conversation_trie, fill_middle, group_join, imatch, license_scan, line_dedup, lm_deleted, lsa_decontam, packing, quality_fm, sharding, simhash_trie, suffix_dedup,
 )
 from stallbook.llm.common import read
 
@@ -79,3 +79,8 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
     digests = [F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256")]
     return cuts.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@CATALOGUE.check("op13_conversation_trie", conversation_trie.TRIE_SQL)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(read(spark, sf_dir, "conversations"))

@@ -24,7 +24,7 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 17, strata: str =
     """
     text = whole_text()
     rows = docs.select(
-        "doc_id", F.col(strata).alias("_stratum"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
+        "doc_id", F.coalesce(F.concat(F.lit("="), F.col(strata).cast("string")), F.lit("")).alias("_stratum"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_key"),
     )
     ties = ["_key", "doc_id", "size", "text_crc32"]
