@@ -29,7 +29,8 @@ class WordIds:
     """Token ids of texts as little-endian 32-bit integers, word by word with bounded caches.
 
     For tokenizers that drop white space, lower-case, and part letters and digits from marks, as
-    word_bpe_49k.json: marks behind a letter or digit are tokens of their own.
+    word_bpe_49k.json: marks behind a letter or digit are tokens of their own. What counts is the
+    last character after the tokenizer has normalised the word, which may be a combining mark.
     """
 
     def __init__(self, path: str):
@@ -37,6 +38,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        normalizer = self.tokenizer.normalizer
+        self.normal = normalizer.normalize_str if normalizer else str
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -48,7 +51,7 @@ class WordIds:
         if len(self.cores) + len(missing) > CACHE_CORES:
             self.cores, missing = {}, list(cores)
         # a run of letters is one piece, whose last token closes it: many are encoded as one text
-        letters = [c for c in missing if c.isalpha()]
+        letters = [c for c in missing if c.isalpha() and (c.isascii() or self.normal(c).isalpha())]
         if letters:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closing[ids]) + 1
@@ -57,15 +60,20 @@ class WordIds:
                 for c, end in zip(letters, (4 * ends).tolist()):
                     self.cores[c] = data[at:end]
                     at = end
-                missing = [c for c in missing if not c.isalpha()]
+                missing = [c for c in missing if c not in self.cores]
         for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
             self.cores[c] = array("I", e.ids).tobytes()
 
+    def _closed(self, core: str) -> bool:
+        """Whether marks behind the word begin a token."""
+        last = core if core.isascii() else self.normal(core)
+        return last[-1:].isalnum()
+
     def _learn(self, missing: set[str]) -> None:
         cut = {}
         for w in missing:
             core = w.rstrip(_TAIL)
-            if core and len(core) < len(w) and core[-1].isalnum() and "<|" not in w:
+            if core and len(core) < len(w) and self._closed(core) and "<|" not in w:
                 cut[w] = (core.lower() if core.isascii() else core, w[len(core):])
             else:
                 cut[w] = (w.lower() if w.isascii() and "<|" not in w else w, "")
