@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from stallbook.llm.common import materialise, shared_folder
 
 
+#: links that a task handles at least
+TASK_LINKS = 50_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
@@ -19,20 +23,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def finished(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
+    def sized(df: DataFrame) -> DataFrame:
+        # a round is many small shuffles: few links make few tasks, whatever the session's number of partitions
+        return df.coalesce(1 + state[0] // TASK_LINKS) if state[0] < TASK_LINKS * spark_partitions else df
+
     u, v = F.greatest(a, b), F.least(a, b)
     now = materialise(edges.where(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")).distinct(), f"{folder}/0")
     state, step = finished(now), 0
+    spark_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = sized(both.groupBy("u").agg(F.min("v").alias("m"))).withColumn("m", F.least("u", "m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        large = sized(large.where("u != v").distinct())
+        least = sized(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = sized(large.join(least, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
         step += 1
-        now = materialise(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-                          f"{folder}/{step}")
+        now = small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        now = materialise(sized(now), f"{folder}/{step}")
         before, state = state, finished(now)
         if state == before:
             break

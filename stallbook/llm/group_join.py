@@ -7,16 +7,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from stallbook.llm import wordhash
 from stallbook.llm.common import materialise, shared_folder, ship_package, whole_text
 from stallbook.llm.components import components
 
 #: members of a bucket that are paired; a larger bucket is split by what its members and a pivot do not share
-LIMIT = 128
+LIMIT = 512
 #: rounds of splitting, after which what is still together is paired
 ROUNDS = 8
+#: bits of the filter that spares texts without a candidate set the shuffle; a fixed number, as it is broadcast
+FILTER_BITS = 1 << 23
 #: bytes of text whose shingles are made at once; a longer text is handled alone
 SLICE = 2 << 20
 _HEADS = 1 << 18
@@ -86,7 +88,8 @@ def _sets(batches: Iterable[pa.RecordBatch], words: int, share: tuple[int, int])
 
 
 def _heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, short, met, k): of a hash that several sets of a batch hold one row goes on (met 2), the others are counted here (met 1)."""
+    """(h, short, k): a hash of one set of a batch has k 0; of a hash of several sets one row goes on with k -1, the
+    others are counted here, so many (k) for each set."""
     for batch in batches:
         head = batch.column(1)
         owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(head.offsets.to_numpy()))
@@ -99,32 +102,30 @@ def _heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, owner = h[new], owner[new]
         first = np.append(True, h[1:] != h[:-1])
         run = np.cumsum(first) - 1
-        met = np.where(first, np.where(np.bincount(run)[run] > 1, 2, 0), 1).astype(np.int8)
-        done, times = np.unique(owner[met == 1], return_counts=True)
-        left = met != 1
+        done, times = np.unique(owner[~first], return_counts=True)
         columns = [
-            np.concatenate([np.zeros(len(done), np.int64), h[left]]), np.concatenate([done, owner[left]]),
-            np.concatenate([np.ones(len(done), np.int8), met[left]]), np.concatenate([times, np.ones(int(left.sum()), np.int64)])]
+            np.concatenate([np.zeros(len(done), np.int64), h[first]]), np.concatenate([done, owner[first]]),
+            np.concatenate([times, -(np.bincount(run) > 1).astype(np.int64)])]
         for i in range(0, len(columns[0]), _HEADS):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i: i + _HEADS]) for c in columns], ["h", "short", "met", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i: i + _HEADS]) for c in columns], ["h", "short", "k"])
 
 
 def _meeting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(short, k): so many hashes of a set are in others too, or fewer; rows come sorted by hash and set."""
-    last = [np.zeros(0, t) for t in (np.int64, np.int64, np.int8)]
+    last = [np.zeros(0, np.int64)] * 3
     for batch in batches:
-        h, short, met, k = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        own = met == 1
+        h, short, k = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        own = k > 0
         out, times = [short[own]], [k[own]]
-        h, short, met = (np.concatenate([a, b[~own]]) for a, b in zip(last, (h, short, met)))
+        h, short, k = (np.concatenate([a, b[~own]]) for a, b in zip(last, (h, short, k)))
         if len(h):
             pair = (h[1:] == h[:-1]) & (short[1:] != short[:-1])
-            shared = met == 2
+            shared = k < 0
             shared[1:] |= pair
             shared[:-1] |= pair
             out.append(short[shared])
             times.append(np.ones(int(shared.sum()), np.int64))
-            last = [c[-1:].copy() for c in (h, short, met)]
+            last = [c[-1:].copy() for c in (h, short, k)]
         found, at = np.unique(np.concatenate(out), return_inverse=True)
         counts = np.bincount(at, np.concatenate(times), len(found)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], ["short", "k"])
@@ -139,19 +140,26 @@ def _whole(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordB
 
 
 def _candidates(texts: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, share: tuple[int, int], folder: str) -> DataFrame:
-    """(node, hs): the whole sets that can be similar to another one; no such set is left out.
+    """(id, node, hs): the whole sets that can be similar to another one; no such set is left out.
 
     Two similar sets have the same smallest hashes in common, whatever else they hold: of the first
     n - least + k hashes of a set of n at least k are in a similar one, and among its first ones.
     """
-    heads = rows.select("short", "head").mapInArrow(_heads, "h long, short long, met byte, k long")
-    dealt = heads.repartition(F.when(F.col("met") == 1, F.xxhash64("short")).otherwise(F.col("h"))).sortWithinPartitions("h", "short")
+    heads = rows.select("short", "head").mapInArrow(_heads, "h long, short long, k long")
+    dealt = heads.repartition(F.when(F.col("k") > 0, F.xxhash64("short")).otherwise(F.col("h"))).sortWithinPartitions("h", "short")
     met = dealt.mapInArrow(_meeting, "short long, k long").groupBy("short").agg(F.sum("k").alias("k"))
-    need = F.greatest(F.floor((F.col("n") * share[0] + share[1] - 1) / share[1] / 10), F.lit(1))
-    chosen = materialise(nodes.join(met, "short").where(F.col("k") >= need).select("node", F.col("first.*")), f"{folder}/chosen")
-    chosen = chosen.select("node", F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    found = texts.join(chosen, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "data")
-    return found.mapInArrow(lambda it: _whole(it, words), "node binary, hs array<long>").dropDuplicates(["node"])
+    need = F.greatest(F.floor(_least(F.col("n"), share) / 10), F.lit(1))
+    key = F.xxhash64("doc_id", "row")
+    chosen = nodes.join(met, "short").where(F.col("k") >= need).select("node", "first.*").select("node", "row", key.alias("key"))
+    chosen = materialise(chosen, f"{folder}/chosen")
+    # most texts are not chosen; a filter of fixed size keeps them from the shuffle, the join is exact
+    place, bit = (F.pmod(F.col("key"), F.lit(FILTER_BITS)), F.expr("shiftleft(1L, cast(key & 63 AS int))"))
+    word = F.shiftright(place, 6).alias("word")
+    bits = chosen.groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    likely = texts.withColumn("key", key).withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    found = likely.select("row", "key", "data").join(chosen, ["row", "key"]).dropDuplicates(["row", "key"]).select("node", "data")
+    whole = found.mapInArrow(lambda it: _whole(it, words), "node binary, hs array<long>")
+    return whole.select(F.monotonically_increasing_id().alias("id"), "*")
 
 
 def _classes(sets: DataFrame, share: tuple[int, int], folder: str) -> tuple[DataFrame, DataFrame]:
@@ -162,9 +170,10 @@ def _classes(sets: DataFrame, share: tuple[int, int], folder: str) -> tuple[Data
     part of the prefix; a set whose prefix has none has no partner and is left out. Classes of one
     size and prefix have one group ``g``.
     """
-    entries = sets.select("node", F.size("hs").cast("long").alias("n"), F.explode("hs").alias("h"))
+    entries = sets.select("id", F.explode("hs").alias("h"))
     counts = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = entries.join(counts, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    ordered = entries.join(counts, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    ordered = ordered.join(sets.select("id", "node", F.size("hs").cast("long").alias("n")), "id")
     # of a prefix of n - least + 1, the n - size(hs) shingles of this set alone come first
     ordered = ordered.withColumn("hs", F.col("hs.h")).withColumn("own", (F.size("hs") - _least(F.col("n"), share) + 1).cast("int")).where("own > 0")
     names = [F.xxhash64(F.lit(i), "n", "hs").alias(f"k{i}") for i in (1, 2)]
@@ -210,7 +219,7 @@ def _links(classes: DataFrame, share: tuple[int, int], folder: str) -> DataFrame
     groups = classes.groupBy("g", "n", F.size("hs").alias("s"), F.expr("slice(hs, 1, own)").alias("prefix")).agg(F.count("*").alias("m"))
     buckets = groups.select("g", "n", "s", "m", F.explode("prefix").alias("key"))
     sizes = classes.select("cid", "n", F.size("hs").alias("s"))
-    found = edges = None
+    found = None
     for step in range(ROUNDS + 1):
         if step:
             buckets = rest.join(sizes, "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
@@ -249,8 +258,8 @@ def _links(classes: DataFrame, share: tuple[int, int], folder: str) -> DataFrame
             _compared(pairs, classes, ["star", apart.alias("apart")]).withColumn("link", _enough(F.col("o"), F.col("na"), F.col("nb"), share))
             .where("link OR star").select("a", "b", "link", "star", "apart"), f"{folder}/compared{step}")
         new = done.where("link").select("a", "b")
-        edges = new if edges is None else edges.unionByName(new)
-        found = components(edges)
+        if found is None or not new.isEmpty():
+            found = components(new if found is None else new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         rest = done.where("star").select(F.col("a").alias("cid"), F.explode("apart").alias("e"), "b").select(
             F.xxhash64("b", "e").alias("key"), "cid").distinct()
         if rest.isEmpty():
@@ -301,3 +310,22 @@ def jaccard_join(docs: DataFrame, words: int = 4, share: tuple[int, int] = (85,
     """
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least_id"))
     return similar_rows(docs, words, share).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """One row of each component of ``similar_rows``: that with the smallest doc_id, then the smallest hash of its text.
+
+    Rows without doc_id come last; of rows that agree in doc_id and text one stays, the first by the
+    other columns. A row whose text is unlike all others is not touched, whatever its doc_id.
+    """
+    rows = similar_rows(docs, words, share).select("doc_id", "row", "component")
+    rows = materialise(rows, f"{shared_folder(docs.sparkSession)}/components")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    firsts = rows.groupBy("component").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first != _last")
+    others = rows.join(firsts, "component").where(key != F.col("_first")).select("doc_id", "row", F.lit(True).alias("_gone"))
+    repeated = rows.groupBy("doc_id", "row").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id", "row", F.lit(False).alias("_gone"))
+    known = others.unionByName(repeated).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.max("_gone").alias("_gone"))
+    left = docs.join(known, (F.xxhash64("text") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    place = F.row_number().over(W.partitionBy("doc_id", "_row").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")]))
+    one = left.where("NOT _gone").withColumn("_place", place).where("_place = 1")
+    return left.where("_gone IS NULL").select(*docs.columns).unionByName(one.select(*docs.columns))

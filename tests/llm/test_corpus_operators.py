@@ -14,7 +14,7 @@ import xxhash
 import corpus_pipeline
 import oracle
 from stallbook.llm import (
-    imatch, license_scan, line_dedup, lm_deleted, lsa_decontam, packing, quality_fm, sharding, shingle_join, simhash_trie, suffix_dedup,
+    group_join, imatch, license_scan, line_dedup, lm_deleted, lsa_decontam, packing, quality_fm, sharding, simhash_trie, suffix_dedup,
 )
 from stallbook.llm.induced_sort import suffix_array
 from stallbook.llm.queries import CATALOGUE
@@ -347,9 +347,10 @@ def test_pipeline_near_dedup_by_brute_force(spark):
     assert sorted(got) == sorted(_first_of_near_copies(rows))
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_shingle_join_by_brute_force(spark, monkeypatch, rounds):
-    monkeypatch.setattr(shingle_join, "PIVOTS", rounds)
+@pytest.mark.parametrize("limit, rounds", [(128, 8), (4, 8), (4, 0)])
+def test_shingle_join_by_brute_force(spark, monkeypatch, limit, rounds):
+    monkeypatch.setattr(group_join, "LIMIT", limit)
+    monkeypatch.setattr(group_join, "ROUNDS", rounds)
     rows = _near_copies(np.random.default_rng(7))
     docs = spark.createDataFrame([(d, t, None, None, 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [r.doc_id for r in corpus_pipeline.one_of_near_duplicates(spark, docs, SF_DIR).collect()]
