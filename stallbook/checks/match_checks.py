@@ -415,13 +415,14 @@ def verification_run(spark, sf_dir):
 def searched(spark, sf_dir):
     """Search results: provider pages spread over the event names, three providers each."""
     names = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("event_name"))
-    pages = provider_pages(spark, sf_dir).withColumn("p_partkey", F.col("k") % 2000).withColumn("provider_ord", F.col("k"))
+    every = names.agg(F.count("*")).scalar()
+    pages = provider_pages(spark, sf_dir).withColumn("p_partkey", F.col("k") % every).withColumn("provider_ord", F.col("k"))
     return R.check_provider_pages(pages).join(names, "p_partkey")
 
 
 SEARCHED_SQL = f"""
 checked AS (SELECT k, p_name AS event_name, CASE WHEN body <> '' THEN {PRICE_SQL} END AS price, CASE WHEN body <> '' THEN {SOLD_SQL} ELSE 'unbekannt' END AS sold_out,
-  {PROVIDER_NAME_SQL} AS source, body <> '' AS loaded FROM provider_pages JOIN part ON p_partkey = k % 2000),
+  {PROVIDER_NAME_SQL} AS source, body <> '' AS loaded FROM provider_pages JOIN part ON p_partkey = k % (SELECT count(*) FROM part)),
 hits AS (SELECT event_name, price, sold_out, source FROM (SELECT *, row_number() OVER (PARTITION BY event_name ORDER BY k) AS rk FROM checked
   WHERE loaded AND (price IS NOT NULL OR sold_out = 'ja')) WHERE rk = 1)
 """
@@ -436,7 +437,7 @@ def provider_hit(spark, sf_dir):
     "join_ref_price_cascade",
     f"""WITH {LISTINGS_SQL}, {PROVIDER_SQL}, {SEARCHED_SQL},
     ev AS (SELECT *, CASE WHEN l_suppkey % 50 = 0 THEN 'MEHRERE' ELSE event_name END AS name, CASE WHEN l_suppkey % 3 = 0 THEN ref_price END AS own FROM listings),
-    direct AS (SELECT min(k) AS k, p_name FROM orders_k JOIN part ON p_partkey = k % 2000 GROUP BY p_name),
+    direct AS (SELECT min(k) AS k, p_name FROM orders_k JOIN part ON p_partkey = k % (SELECT count(*) FROM part) GROUP BY p_name),
     orders_k AS (SELECT k FROM provider_pages),
     cascade AS (SELECT ev.*, CASE WHEN name = 'MEHRERE' THEN NULL WHEN year(event_date) = 1997 THEN CASE WHEN length(name) % 2 = 0 THEN 99.0 END
         WHEN name LIKE 'red%' THEN 49.9 WHEN name LIKE 'blue%' THEN d.price ELSE h.price END AS online,
@@ -447,8 +448,8 @@ def provider_hit(spark, sf_dir):
     SELECT listing_id, name AS event_name, CASE WHEN name = 'MEHRERE' THEN own ELSE coalesce(online, own) END AS ref_price,
       CASE WHEN name = 'MEHRERE' THEN ref_source WHEN online IS NOT NULL THEN online_source WHEN own IS NOT NULL THEN 'Anzeige' ELSE '' END AS ref_source,
       CASE WHEN name <> 'MEHRERE' THEN sold END AS sold_out FROM cascade""".replace(
-        "direct AS (SELECT min(k) AS k, p_name FROM orders_k JOIN part ON p_partkey = k % 2000 GROUP BY p_name),\n    orders_k AS (SELECT k FROM provider_pages),",
-        "direct AS (SELECT min(k) AS k, p_name FROM provider_pages JOIN part ON p_partkey = k % 2000 GROUP BY p_name),",
+        "direct AS (SELECT min(k) AS k, p_name FROM orders_k JOIN part ON p_partkey = k % (SELECT count(*) FROM part) GROUP BY p_name),\n    orders_k AS (SELECT k FROM provider_pages),",
+        "direct AS (SELECT min(k) AS k, p_name FROM provider_pages JOIN part ON p_partkey = k % (SELECT count(*) FROM part) GROUP BY p_name),",
     ),
 )
 def ref_price_cascade(spark, sf_dir):

@@ -138,7 +138,10 @@ def full_run(
 
 @dataclass(frozen=True)
 class Verification:
+    """Tables after a verification; ``results`` has one row per listing that was looked at."""
+
     listings: DataFrame
+    results: DataFrame
     store: DataFrame
     unverified: DataFrame
     counts: DataFrame
@@ -227,11 +230,12 @@ def verify_listings(
     ).select(F.expr("stack(2, 'total', t, 'cached', c) AS (action, n)"))
     counts = totals.union(by_status)
     new_store = store_put(store, fresh.drop("city"), as_of)
-    if dry_run:
-        return Verification(listings, new_store, unverified(listings), counts)
     usable = per_row.where(F.coalesce(strip(F.col("listing_id")) != "", F.lit(False)))
-    table = write_back(listings, first_wins(usable, ["listing_id"], F.col("row_seq").desc()))
-    return Verification(table, new_store, unverified(table), counts)
+    written = first_wins(usable, ["listing_id"], F.col("row_seq").desc())
+    if dry_run:
+        return Verification(listings, written, new_store, unverified(listings), counts)
+    table = write_back(listings, written)
+    return Verification(table, written, new_store, unverified(table), counts)
 
 
 def store_hit_type(store: DataFrame) -> str:
