@@ -71,15 +71,46 @@ def resolve_venues(names: DataFrame, venues: DataFrame) -> DataFrame:
     )
 
 
+#: labels of venues that are looked through within a row; a larger dimension is joined
+INLINE_LABELS = 2000
+
+
+def _labels_of(venues: DataFrame) -> Column:
+    """A dimension of a checked size as one value."""
+    label = F.explode(F.concat(F.array(F.lower("canonical")), "aliases"))
+    return venues.withColumn("label", label).agg(
+        F.collect_list(F.struct("label", "ord", "canonical", "capacity", "venue_type", "city"))).scalar()
+
+
+def _hit_in_row(key: Column, labels: Column) -> Column:
+    """What ``resolve_venues`` finds for a name."""
+    found = F.filter(labels, lambda v: F.contains(key, v["label"]))
+    best = F.array_min(F.transform(found, lambda v: F.struct(
+        F.when(v["label"] == key, 1).otherwise(2).alias("rank"), v["ord"].alias("ord"), v["canonical"].alias("venue_norm"),
+        v["capacity"].alias("venue_capacity"), v["venue_type"].alias("venue_type"), v["city"].alias("venue_city"))))
+    return F.when(key != "", best)
+
+
 def with_venue(
     df: DataFrame, venues: DataFrame, prefix: str = "", with_city: bool = False
 ) -> DataFrame:
     """Adds venue_norm, venue_capacity, venue_type (and the venue's city).
 
-    Only distinct names are resolved; the result is small next to ``df``, so
-    the join back is broadcast when its measured size allows it.
+    A dimension of INLINE_LABELS names and aliases at most is looked through
+    within the row, so ``df`` is read once and not shuffled. A larger one is
+    joined on the distinct names of ``df``, which reads it twice.
     """
-    known = resolve_venues(df, venues).withColumnRenamed("venue_key", "_venue_key")
+    found = ("venue_norm", "venue_capacity", "venue_type", "venue_city")
+    size = venues.select(F.explode(F.concat(F.array("canonical"), "aliases"))).limit(INLINE_LABELS + 1).count()
+    if size <= INLINE_LABELS:
+        hit = F.col("_hit")
+        joined = df.withColumn("_labels", _labels_of(venues)).withColumn(
+            "_hit", _hit_in_row(F.lower(strip(F.col("venue"))), F.col("_labels"))
+        ).withColumns({"_k_" + c: hit[c] for c in found}).drop("_hit", "_labels")
+    else:
+        known = resolve_venues(df, venues).withColumnRenamed("venue_key", "_venue_key")
+        known = known.withColumnsRenamed({c: "_k_" + c for c in found})
+        joined = df.withColumn("_venue_key", F.lower(strip(F.col("venue")))).join(known, "_venue_key", "left").drop("_venue_key")
     raw = strip(F.col("venue"))
     named = raw != ""
     out = {
@@ -94,12 +125,7 @@ def with_venue(
     }
     if with_city:
         out["city"] = F.when(named, F.col("_k_venue_city"))
-    found = ("venue_norm", "venue_capacity", "venue_type", "venue_city")
-    known = known.withColumnsRenamed({c: "_k_" + c for c in found})
-    joined = df.withColumn("_venue_key", F.lower(raw)).join(known, "_venue_key", "left")
-    return joined.withColumns({prefix + k: v for k, v in out.items()}).drop(
-        "_venue_key", *["_k_" + c for c in found]
-    )
+    return joined.withColumns({prefix + k: v for k, v in out.items()}).drop(*["_k_" + c for c in found])
 
 
 def with_venue_city(df: DataFrame, venues: DataFrame) -> DataFrame:

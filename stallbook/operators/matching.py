@@ -23,15 +23,12 @@ def _city(c: Column) -> Column:
 # --- blocked similarity join over distinct names ---------------------------------
 
 
-def _prefixes(
-    names: DataFrame, frequency: DataFrame, min_score: float, min_shared: int
-) -> DataFrame:
+def _prefixes(names: DataFrame, frequency: DataFrame, min_score: float) -> DataFrame:
     """(key, tokens, prefix): the rarest tokens, enough to meet every partner.
 
     Two names with Jaccard >= t share at least s = ceil(t * n) tokens of either
-    side (or ``min_shared``, if that is more), so at least one within the first
-    n - s + 1 tokens of any order both sides agree on. Rarest first leaves the
-    frequent words out.
+    side, so at least one within the first n - s + 1 tokens of any order both
+    sides agree on. Rarest first leaves the frequent words out.
     """
     ranked = (
         names.select("key", "tokens", F.explode("tokens").alias("token"))
@@ -46,8 +43,7 @@ def _prefixes(
         )
     )
     n = F.size("tokens")
-    shared = F.greatest(F.ceil(n * min_score - 1e-9).cast("int"), F.lit(min_shared))
-    length = F.greatest(n - shared + 1, F.lit(0))
+    length = n - F.ceil(n * min_score - 1e-9).cast("int") + 1
     return ranked.select(
         "key", "tokens", F.slice(F.col("ranked.token"), F.lit(1), length).alias("prefix")
     )
@@ -57,13 +53,9 @@ def similar_names(
     left: DataFrame,
     right: DataFrame,
     min_score: float = config.MIN_NAME_SCORE,
-    min_shared: int = 1,
 ) -> DataFrame:
     """(left_key, right_key, name_score) for all name pairs with Jaccard >= min_score.
 
-    With ``min_shared`` = 2 pairs that share a single word may be left out, and
-    no name is looked up by its most frequent word.
-
     Inputs have one row per distinct name: ``key`` and its ``tokens``. Pairs
     meet on a shared prefix token of compatible size; a pair that meets on
     several is kept on the first only, so no ``distinct`` is needed.
@@ -75,7 +67,7 @@ def similar_names(
     )
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return _prefixes(df, frequency, min_score, min_shared).select(
+        return _prefixes(df, frequency, min_score).select(
             F.col("key").alias(name + "_key"), F.col("tokens").alias(name + "_tokens"),
             F.col("prefix").alias(name + "_prefix"), F.explode("prefix").alias("token"),
         )
@@ -96,27 +88,83 @@ def similar_names(
     )
 
 
-def _word_class(token: Column, size: Column) -> Column:
-    """Key of all names of ``size`` words that have the word."""
-    return F.concat(F.lit("\u0001"), token, F.lit("\u0001"), size.cast("string"))
+#: names of candidates that may have a word before it counts as frequent
+RARE_NAMES = 64
+#: frequent words of a name whose combinations are classes; its other words are looked up one by one
+CLASS_WORDS = 6
+
+
+def _class_key(words: Column, size: Column) -> Column:
+    """Key of all names of ``size`` words that have these frequent words."""
+    return F.concat(F.lit("\u0001"), F.array_join(F.array_sort(words), " "), F.lit("\u0001"), size.cast("string"))
 
 
-def one_word_pairs(left: DataFrame, min_score: float) -> DataFrame:
-    """Pairs of a name with the classes of short names that share one word with it.
+def _subsets(words: Column) -> Column:
+    """All combinations of the words, the empty one first."""
+    none = F.array(F.array().cast("array<string>"))
+    return F.aggregate(words, none, lambda sets, w: F.concat(sets, F.transform(sets, lambda x: F.concat(x, F.array(w)))))
 
-    One shared word is enough for sizes a + b <= 1 + 1 / min_score. All names of
-    a class score the same, so a word that is in a third of all names costs one
-    row per name and size instead of all pairs.
+
+def split_words(names: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(key, tokens, common, single): a name's most frequent words, CLASS_WORDS at most, and all its others.
+
+    ``single`` holds (token, rare); a word that is not rare is there only if the name has more
+    frequent words than that. Words that no candidate has are left out.
     """
-    a = F.size("tokens")
-    largest = int(1 + 1 / min_score + 1e-9)
-    sizes = F.filter(F.sequence(F.lit(1), F.lit(largest)), lambda b: b <= F.lit(largest) - a)
-    return left.select(
-        F.col("key").alias("left_key"), a.alias("a"), F.explode("tokens").alias("token"), sizes.alias("sizes")
-    ).select("left_key", "a", "token", F.explode("sizes").alias("b")).select(
-        "left_key", _word_class(F.col("token"), F.col("b")).alias("right_key"),
-        (1 / (F.col("a") + F.col("b") - 1)).alias("name_score"),
+    ranked = names.select("key", "tokens", F.explode("tokens").alias("token")).join(frequency, "token").groupBy("key").agg(
+        F.first("tokens").alias("tokens"),
+        # as many entries as the name has words
+        F.sort_array(F.collect_list(F.struct("n", "token")), asc=False).alias("ranked"),
     )
+    frequent = F.filter("ranked", lambda r: r["n"] > RARE_NAMES)
+    top = F.slice(frequent, 1, CLASS_WORDS)
+    rest = F.filter("ranked", lambda r: ~F.array_contains(F.col("common"), r["token"]))
+    return ranked.withColumn("common", F.transform(top, lambda r: r["token"])).select(
+        "key", "tokens", "common",
+        F.transform(rest, lambda r: F.struct(r["token"].alias("token"), (r["n"] <= RARE_NAMES).alias("rare"))).alias("single"),
+    )
+
+
+def bounded_pairs(left: DataFrame, right: DataFrame, min_score: float) -> DataFrame:
+    """(left_key, right_key, name_score): pairs of names that share a rare word, and of names with classes.
+
+    ``left`` and ``right`` come from ``split_words``. Two names either share a word that is looked up
+    for one of them, and a rare word leads to RARE_NAMES names at most; or they share some of their
+    frequent words only. Then the class of the candidates that have these words and are of that
+    size stands for all of them, since they score alike. So rows stay in proportion to the names,
+    however many of them follow one pattern. A class understates a pair that shares more words than it says;
+    that pair is in a class of more words or in a looked-up one as well.
+    """
+    def side(names: DataFrame, name: str, which: Callable[[Column], Column]) -> DataFrame:
+        words = F.concat(F.transform("common", lambda w: F.struct(w.alias("token"), F.lit(False).alias("rare"))), "single")
+        return names.select(F.col("key").alias(f"{name}_key"), F.col("tokens").alias(f"{name}_tokens"), F.explode(which(words)).alias("w")).select(
+            f"{name}_key", f"{name}_tokens", F.col("w.token").alias("token"))
+
+    single, every = (lambda words: F.col("single")), (lambda words: words)
+    over = lambda words: F.filter("single", lambda w: ~w["rare"])
+    score = scores.token_jaccard(F.col("left_tokens"), F.col("right_tokens"))
+    looked_up = side(left, "left", single).join(side(right, "right", every), "token").unionByName(
+        side(left, "left", every).join(side(right, "right", over), "token"))
+    named = looked_up.withColumn("name_score", score).where(F.col("name_score") >= min_score).select(
+        "left_key", "right_key", "name_score").distinct()
+    a, s = F.size("tokens"), F.size("words")
+    largest = F.floor(s / min_score - a + s + 1e-9).cast("int")
+    classes = (
+        left.select("key", "tokens", F.explode(_subsets(F.col("common"))).alias("words")).where(s > 0)
+        .withColumn("largest", largest).where(F.col("largest") >= s)
+        .select("key", "words", a.alias("a"), F.explode(F.sequence(s, F.col("largest"))).alias("b"))
+        .select(F.col("key").alias("left_key"), _class_key(F.col("words"), F.col("b")).alias("right_key"),
+                (F.size("words") / (F.col("a") + F.col("b") - F.size("words"))).alias("name_score"))
+    )
+    return named.unionByName(classes)
+
+
+def class_keys(right: DataFrame, min_score: float) -> DataFrame:
+    """(right_key, group): a candidate name itself and the classes it is in."""
+    b = F.size("tokens")
+    sets = F.filter(_subsets(F.col("common")), lambda words: (F.size(words) > 0) & (F.size(words) >= b * min_score - 1e-9))
+    groups = F.concat(F.array("key"), F.transform(sets, lambda words: _class_key(words, b)))
+    return right.select(F.col("key").alias("right_key"), F.explode(groups).alias("group"))
 
 
 def _contained(texts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -163,14 +211,16 @@ def best_matches(
     candidates(*by, event_name, event_date, city, cand_seq).
 
     The total depends on the name pair, on the date band and on the city only.
-    So candidates collapse to the first one per name, per (name, date), per
-    (name, city) and per (name, date, city), and a query probes these classes
-    for the dates and cities that score. A name with very many dates or copies
-    is never paired with itself row by row. Names that share one word only are
-    classes of their own (``one_word_pairs``). A class read without its date, its
-    city or a second shared word understates a total; the class that states it is
-    probed as well, so the maximum is exact.
+    So candidates collapse to the first one per name (or class of names, see
+    ``bounded_pairs``), period of days and city, with and without date and city,
+    and a query probes the periods and cities that score. A name with very many
+    dates or copies, or very many names of one pattern, are never paired row by
+    row. A class read without its date, its city or a further shared word
+    understates a total; the class that states it is probed as well, so the
+    maximum is exact.
     """
+    if min_score <= 0:
+        raise ValueError("blocking needs a positive minimum name score")
     by = list(by)
     q = queries.select(
         "query_id", "event_date", _city(F.col("city")).alias("q_city"),
@@ -184,69 +234,59 @@ def best_matches(
     def names(df: DataFrame, key: str) -> DataFrame:
         return df.select(F.col(key).alias("key"), "tokens").distinct()
 
-    left = names(q, "left_key")
-    pairs = similar_names(left, names(c, "right_key"), min_score, min_shared=2).unionByName(
-        one_word_pairs(left, min_score)
-    )
-
-    # stand for "whatever day" and "whatever city" in the classes below
-    any_day, any_city = F.lit("0001-01-01").cast("date"), F.lit("")
-    keyed = c.withColumns(
-        {
-            "days": F.array_distinct(
-                F.array(any_day, F.coalesce("event_date", any_day))
-            ),
-            "cities": F.array_distinct(F.array(any_city, F.col("c_city"))),
-            "groups": F.concat(
-                F.array("right_key"),
-                F.when(F.size("tokens") > 1 / min_score, F.array().cast("array<string>")).otherwise(
-                    F.transform("tokens", lambda w: _word_class(w, F.size("tokens")))
-                ),
-            ),
-        }
-    )
-    classes = (
-        keyed.withColumn("right_key", F.explode("groups"))
-        .withColumn("day", F.explode("days"))
-        .withColumn("c_city", F.explode("cities"))
-        .groupBy(*by, "right_key", "day", "c_city")
-        .agg(F.min_by(F.struct("event_name", "cand_seq"), F.col("cand_seq")).alias("cand"))
-    )
+    offered = names(c, "right_key")
+    frequency = offered.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    right = split_words(offered, frequency)
+    pairs = bounded_pairs(split_words(names(q, "left_key"), frequency), right, min_score)
 
     band = config.DATE_BAND_DAYS
-    near = F.transform(
-        F.sequence(F.lit(-band), F.lit(band)),
-        lambda k: F.struct(
-            F.date_add("event_date", k).alias("day"),
-            F.when(k == 0, 1.0).otherwise(0.5).alias("date_score"),
-        ),
-    )
-    no_day = F.array(F.struct(any_day.alias("day"), F.lit(0.0).alias("date_score")))
-    days = F.when(F.col("event_date").isNull(), no_day).otherwise(F.concat(no_day, near))
-    # a city matches few others; the list is bounded by the distinct city names
-    cities = city_pairs(queries, candidates).groupBy("q_city").agg(
-        F.collect_list(F.struct("c_city", "city_score")).alias("matched")
-    )
-    no_city = F.array(F.struct(any_city.alias("c_city"), F.lit(0.0).alias("city_score")))
-    probes = (
-        q.join(cities, "q_city", "left")
-        .withColumn("towns", F.when(F.col("matched").isNull(), no_city).otherwise(
-            F.concat(no_city, "matched")))
-        .select("query_id", "left_key", F.explode(days).alias("d"), "towns")
-        .select("query_id", "left_key", "d.*", F.explode("towns").alias("t"))
-        .select("query_id", "left_key", "day", "date_score", "t.*")
+    any_period, any_city = F.lit(-(1 << 30)), F.lit("")
+
+    def period(day: Column) -> Column:
+        # the days within the band of a day lie in two periods at most
+        return F.floor(F.unix_date(day) / (2 * band + 1)).cast("int")
+
+    first = F.min_by("cand", F.col("cand.cand_seq")).alias("cand")
+    once = c.groupBy(*by, "right_key", "event_date", "c_city").agg(
+        F.min_by(F.struct("event_name", "cand_seq"), F.col("cand_seq")).alias("cand"))
+    no_day = F.lit(None).cast("date")
+    days = F.array_distinct(F.array(
+        F.struct(any_period.alias("period"), no_day.alias("day")),
+        F.struct(F.coalesce(period(F.col("event_date")), any_period).alias("period"), F.col("event_date").alias("day"))))
+    classes = (
+        once.join(class_keys(right, min_score), "right_key")
+        .select(*by, "group", "cand", "c_city", F.explode(days).alias("d"))
+        .select(*by, "group", "cand", "d.*", F.explode(F.array_distinct(F.array(any_city, F.col("c_city")))).alias("c_city"))
+        .groupBy(*by, "group", "period", "c_city", "day").agg(first)
+        # one entry a day of the period
+        .groupBy(*by, "group", "period", "c_city").agg(F.collect_list(F.struct("day", "cand")).alias("days"))
+        .withColumnRenamed("group", "right_key")
     )
+    towns = city_pairs(queries, candidates).unionByName(
+        q.select("q_city").distinct().select("q_city", any_city.alias("c_city"), F.lit(0.0).alias("city_score")))
+    near = F.array(*[period(F.date_add("event_date", k)) for k in (-band, band)])
+    periods = F.when(F.col("event_date").isNull(), F.array(any_period)).otherwise(
+        F.array_distinct(F.concat(F.array(any_period), near)))
+    probes = q.join(towns, "q_city").select(
+        "query_id", "left_key", "event_date", "c_city", "city_score", F.explode(periods).alias("period"))
+
+    def best_within(score: float, fits: Callable[[Column], Column]) -> Column:
+        found = F.array_min(F.transform(F.filter("days", fits), lambda d: F.struct(d["cand"]["cand_seq"].alias("cand_seq"), d["cand"]["event_name"].alias("cand_name"))))
+        return F.when(found.isNotNull(), F.struct(F.lit(score).alias("date_score"), found.alias("cand")))
+
+    away = lambda d: F.abs(F.datediff(d["day"], F.col("event_date")))
+    options = F.when(F.col("period") == any_period, F.array(best_within(0.0, lambda d: F.lit(True)))).otherwise(F.array_compact(F.array(
+        best_within(1.0, lambda d: away(d) == 0), best_within(0.5, lambda d: (away(d) > 0) & (away(d) <= band)))))
     total = scores.weighted_total(F.col("name_score"), F.col("date_score"), F.col("city_score"))
     scored = (
         pairs.join(probes, "left_key")
-        .join(classes, ["right_key", "day", "c_city"])
-        .select(
-            "query_id", *by, F.col("cand.event_name").alias("cand_name"), "cand.cand_seq",
-            "name_score", "date_score", "city_score", total.alias("total"),
-        )
+        .join(classes, ["right_key", "period", "c_city"])
+        .select("query_id", *by, "name_score", "city_score", F.explode(options).alias("o"))
+        .select("query_id", *by, "o.cand.cand_name", "o.cand.cand_seq", "name_score", "o.date_score", "city_score")
+        .withColumn("total", total)
     )
     return first_wins(
-        scored, ["query_id", *by], F.col("total").desc(), F.col("cand_seq"),
+        scored.select("query_id", *by, *MATCH_COLUMNS), ["query_id", *by], F.col("total").desc(), F.col("cand_seq"),
         F.col("name_score").desc(), F.col("date_score").desc(), F.col("city_score").desc(),
     )
 

@@ -195,7 +195,10 @@ def brute_force(queries, candidates):
     return {q: (-t, s) for q, (t, s) in best.items()}
 
 
-def test_blocked_match_equals_all_pairs(spark):
+@pytest.mark.parametrize("rare, words_of_class", [(64, 6), (20, 6), (20, 2), (3, 1)])
+def test_blocked_match_equals_all_pairs(spark, monkeypatch, rare, words_of_class):
+    monkeypatch.setattr(M, "RARE_NAMES", rare)
+    monkeypatch.setattr(M, "CLASS_WORDS", words_of_class)
     rng = random.Random(3)
     words = ["live", "wien", "tour", "rock", "jazz", "open", "air", "nacht", "fest", "pop"]
     weights = [9, 8, 5, 2, 2, 1, 1, 1, 1, 1]  # a few words are in most names
@@ -217,12 +220,22 @@ def test_blocked_match_equals_all_pairs(spark):
     assert got == brute_force(queries, candidates)
 
 
-def test_frequent_word_makes_no_pairs(spark):
-    """A word in every name: names meet on their other words only."""
-    names = spark.range(300).select(F.concat(F.lit("live a"), F.col("id").cast("string")).alias("key"))
+@pytest.mark.parametrize("n", [500, 2000])
+def test_names_of_one_pattern_make_rows_in_proportion(spark, n):
+    """Two words that all names share: names meet as classes, and on the words that few of them have."""
+    names = spark.range(n).select(F.concat(F.lit("live tour a"), F.col("id").cast("string")).alias("key"))
     names = names.withColumn("tokens", F.split("key", " "))
-    assert M.similar_names(names, names, min_shared=2).count() == 300
-    assert M.one_word_pairs(names, 0.3).count() == 300 * 2 * 2
+    frequency = names.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    split = M.split_words(names, frequency)
+    pairs = M.bounded_pairs(split, split, 0.3)
+    assert pairs.where("right_key NOT LIKE '\u0001%'").count() == n
+    assert pairs.count() == n * (1 + 2 * 1 + 4) and M.class_keys(split, 0.3).count() == n * 4
+    # every name is its own best match, and no date is probed more than three times a city
+    q = names.select(F.col("key").alias("query_id"), F.col("key").alias("event_name"), F.lit(DAY).alias("event_date"), F.lit("Wien").alias("city"))
+    c = names.select(F.col("key").alias("event_name"), F.date_add(F.lit(DAY), F.length("key") % 9).alias("event_date"), F.lit("Wien").alias("city"),
+                     F.substring("key", 12, 9).cast("int").alias("cand_seq"))
+    best = M.best_matches(q, c)
+    assert best.where("query_id = cand_name").count() == n
 
 
 def status_of(spark, confirmed, answered=("musicbrainz", "wikidata", "bandsintown"), name="A", total=0.8):
