@@ -14,7 +14,7 @@ from stallbook.llm.common import materialise, shared_folder, ship_package, whole
 from stallbook.llm.components import components
 
 #: members of a bucket that are paired; a larger bucket is split by what its members and a pivot do not share
-LIMIT = 512
+LIMIT = 256
 #: rounds of splitting, after which what is still together is paired
 ROUNDS = 8
 #: bits of the filter that spares texts without a candidate set the shuffle; a fixed number, as it is broadcast
@@ -193,9 +193,14 @@ def _enough(o: Column, n: Column, m: Column, share: tuple[int, int]) -> Column:
 
 
 def _can(a: str, b: str, share: tuple[int, int]) -> Column:
-    """Whether sizes allow two sets (n, and s shingles that others have) to be similar; by far the most pairs end here."""
-    n, s, m, t = (F.col(f"{x}.{y}") for x in (a, b) for y in ("n", "s"))
-    return _enough(F.least(s, t), n, m, share)
+    """Whether sizes allow two sets (n, and s shingles that others have) to be similar; by far the most pairs end here.
+
+    Where both hold the shingle at the places i and j of the common order, they share no more than
+    the places before the first of these and behind the last allow.
+    """
+    n, s, i, m, t, j = (F.col(f"{x}.{y}") for x in (a, b) for y in ("n", "s", "pos"))
+    places = F.coalesce(F.least(i, j) + 1 + F.least(s - i, t - j) - 1, s)
+    return _enough(F.least(s, t, places), n, m, share)
 
 
 def _compared(pairs: DataFrame, classes: DataFrame, extra: list[str]) -> DataFrame:
@@ -204,6 +209,20 @@ def _compared(pairs: DataFrame, classes: DataFrame, extra: list[str]) -> DataFra
     return pairs.join(x, "a").join(y, "b").withColumn("o", F.size(F.array_intersect("hsa", "hsb"))).select("a", "b", "na", "nb", "o", *extra)
 
 
+def _telling(share: tuple[int, int]) -> Column:
+    """Of the shingles that set a apart from its pivot b, so many that one of them is among those of any similar set.
+
+    With k = share / (1 + share) and v = k n + |p - x|, two sets have at least v + w - |p| of these
+    shingles in common. w is k |p| at least, and more than |p| - k n(p) if its set is not similar to
+    the pivot; of two sets that are both similar to it nothing need be known.
+    """
+    k, one = share[0], share[0] + share[1]
+    lacking = F.col("sb") - F.col("o")
+    v = F.col("na") * k + lacking * one
+    needed = F.when(F.col("link"), F.floor((v - F.col("nb") * k) / one) + 1).otherwise(F.ceil((v - F.col("sb") * share[1]) / one))
+    return F.greatest(F.size("apart") - F.greatest(needed, F.lit(1)) + 1, F.lit(0)).cast("int")
+
+
 def _links(classes: DataFrame, share: tuple[int, int], folder: str) -> DataFrame:
     """(node, component) of the classes that are similar to another class.
 
@@ -213,17 +232,18 @@ def _links(classes: DataFrame, share: tuple[int, int], folder: str) -> DataFrame
     members x, y that are both similar to p are in one component; if one of them is not, they can
     be similar only if both lack the same shingle of p or both hold the same other one, because
     |x n y| <= |p| - |p - x| - |p - y| + |(p - x) n (p - y)| + |(x - p) n (y - p)|. So the
-    members go into a smaller bucket for each shingle that sets them apart from p, and so on.
+    members go into a smaller bucket for each of the shingles that set them apart from p (a prefix of
+    these, see ``_telling``), and so on.
     """
     members = classes.select("g", "cid")
     groups = classes.groupBy("g", "n", F.size("hs").alias("s"), F.expr("slice(hs, 1, own)").alias("prefix")).agg(F.count("*").alias("m"))
-    buckets = groups.select("g", "n", "s", "m", F.explode("prefix").alias("key"))
+    buckets = groups.select("g", "n", "s", "m", F.posexplode("prefix").alias("pos", "key"))
     sizes = classes.select("cid", "n", F.size("hs").alias("s"))
     found = None
     for step in range(ROUNDS + 1):
         if step:
             buckets = rest.join(sizes, "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
-                "key", F.col("cid").alias("g"), "n", "s", F.lit(1).alias("m"), F.coalesce("component", "cid").alias("c"))
+                "key", F.col("cid").alias("g"), "n", "s", F.lit(1).alias("m"), F.lit(None).cast("int").alias("pos"), F.coalesce("component", "cid").alias("c"))
             members = None
         else:
             # the members of a group are not yet of one component
@@ -253,10 +273,11 @@ def _links(classes: DataFrame, share: tuple[int, int], folder: str) -> DataFrame
             star = rows.join(pivot.select("key", F.col("p.cid").alias("p")), "key").where("cid != p").select(
                 F.col("cid").alias("a"), F.col("p").alias("b"), F.lit(True).alias("star")).distinct()
             pairs = pairs.unionByName(star)
-        apart = F.when(F.col("star"), F.concat(F.array_except("hsa", "hsb"), F.array_except("hsb", "hsa")))
+        apart = F.when(F.col("star"), F.array_sort(F.concat(F.array_except("hsa", "hsb"), F.array_except("hsb", "hsa"))))
         done = materialise(
-            _compared(pairs, classes, ["star", apart.alias("apart")]).withColumn("link", _enough(F.col("o"), F.col("na"), F.col("nb"), share))
-            .where("link OR star").select("a", "b", "link", "star", "apart"), f"{folder}/compared{step}")
+            _compared(pairs, classes, ["star", F.size("hsb").alias("sb"), apart.alias("apart")])
+            .withColumn("link", _enough(F.col("o"), F.col("na"), F.col("nb"), share)).where("link OR star")
+            .withColumn("apart", F.slice("apart", F.lit(1), _telling(share))).select("a", "b", "link", "star", "apart"), f"{folder}/compared{step}")
         new = done.where("link").select("a", "b")
         if found is None or not new.isEmpty():
             found = components(new if found is None else new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
