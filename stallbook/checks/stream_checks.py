@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window as W, functions as F
 
 from stallbook.checks.catalogue import Catalogue
@@ -82,8 +84,6 @@ def append_unseen(spark, sf_dir):
 
 @check("stream_drop_old", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'")
 def drop_old(spark, sf_dir):
-    import datetime as dt
-
     base = shared_folder(spark)
     stream = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events*.parquet")
     finish(J.start(J.drop_old(stream, "ts", 7, dt.date(2024, 1, 31)), base + "/checkpoint", base + "/out"))
@@ -169,3 +169,23 @@ def rolling_activity(spark, sf_dir):
     last = W.partitionBy("event_key", "until").orderBy(F.col("batch").desc())
     out = spark.read.parquet(base + "/out").withColumn("rk", F.row_number().over(last)).where("rk = 1")
     return out.select("event_key", F.date_format("until", "yyyy-MM-dd").alias("until"), (F.col("active") > 0).alias("active"))
+
+
+@check(
+    "stream_active_counts",
+    """WITH days AS (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS d FROM events),
+    spans AS (SELECT event_type AS event_key, CAST(d + CAST(k AS INTEGER) AS DATE) AS until, user_id FROM days, range(1, 8) t(k))
+    SELECT event_key, CAST(until AS VARCHAR) AS until, count(DISTINCT user_id) AS active FROM spans GROUP BY event_key, until""",
+)
+def active_counts(spark, sf_dir):
+    """Exact counts of every trailing week, from panes of batches in no order of time."""
+    base = shared_folder(spark)
+    columns = (F.col("ts").alias("seen_ts"), F.col("event_type").alias("event_name"), F.col("user_id").cast("string").alias("listing_id"))
+    each = J.store_activity(spark, base + "/panes")
+    for _ in mixed_slices(spark, sf_dir, base, columns):
+        stream = spark.readStream.schema("seen_ts TIMESTAMP, event_name STRING, listing_id STRING").parquet(base + "/in")
+        finish(J.start(stream, base + "/checkpoint", each=each))
+    first, last = table(spark, sf_dir, "events").agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    week = dt.timedelta(days=7)
+    out = J.active_counts(spark, base + "/panes", first, last + week)
+    return out.select("event_key", F.col("until").cast("string").alias("until"), "active")

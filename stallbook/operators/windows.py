@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 LAST_DURATIONS = 10
+#: parts into which the rows are cut at most; the cuts are held by the driver
+MOST_PARTS = 4096
+
+
+def equal_parts(rows: DataFrame, seq: str, chunk: int) -> DataFrame:
+    """Adds ``_chunk``, which grows with ``seq``: parts of about ``chunk`` rows, -1 without ``seq``."""
+    kind = rows.schema[seq].dataType.simpleString()
+    place = F.col(seq).cast("timestamp").cast("double") if kind in ("date", "timestamp", "timestamp_ntz") else F.col(seq).cast("double")
+    parts = min(MOST_PARTS, -(-rows.count() // chunk))
+    placed = rows.withColumn("_place", place)
+    cuts = sorted(set(placed.approxQuantile("_place", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    if not cuts:
+        return placed.drop("_place").withColumn("_chunk", F.when(F.col(seq).isNull(), -1).otherwise(0))
+    split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_place", outputCol="_chunk", handleInvalid="keep")
+    return split.transform(placed).drop("_place").withColumn(
+        "_chunk", F.when(F.col(seq).isNull(), -1).otherwise(F.col("_chunk").cast("int")))
 
 
 def run_progress(
@@ -18,21 +37,14 @@ def run_progress(
 ) -> DataFrame:
     """Per parsed advert: position, errors so far, mean of the last known durations.
 
-    The span of ``seq`` (numbers, dates or timestamps) is cut into equal parts, as
-    many as the rows make chunks of ``chunk`` rows; so sparse ids and timestamps
-    give no more parts than close ones. Offsets come from per-part counts; the last
-    durations of a block are copied into the next one that needs them, so a run of
-    any length spreads over tasks. Rows without ``seq`` come first.
+    ``seq`` (numbers, dates or timestamps) is cut at its quantiles, over all runs, into
+    as many parts as the rows make chunks of ``chunk`` rows, MOST_PARTS at most; so the
+    rows of a long run spread evenly however unevenly they lie in time. Rows of one
+    instant stay together. Offsets come from per-part counts; the last durations of a
+    block are copied into the next one that needs them, so a run of any length spreads
+    over tasks. Rows without ``seq`` come first.
     """
-    kind = rows.schema[seq].dataType.simpleString()
-    place = F.col(seq).cast("timestamp").cast("double") if kind in ("date", "timestamp", "timestamp_ntz") else F.col(seq).cast("double")
-    span = rows.agg(F.struct(
-        F.min(place).alias("low"), ((F.max(place) - F.min(place)) / F.ceil(F.count("*") / chunk)).alias("width")
-    )).scalar()
-    part = F.floor(F.try_divide(place - F.col("_span.low"), F.col("_span.width")))
-    parts = rows.withColumn("_span", span).withColumn(
-        "_chunk", F.when(F.col(seq).isNull(), -1).otherwise(F.coalesce(part, F.lit(0)))
-    ).drop("_span")
+    parts = equal_parts(rows, seq, chunk)
     counts = parts.groupBy(run, "_chunk").agg(
         F.count("*").alias("_rows"), F.count(duration).alias("_known"),
         F.count_if(F.col(failed)).alias("_errors"),

@@ -87,6 +87,14 @@ def stored_versions(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in done)
 
 
+def committed_parts(spark: SparkSession, folder: str, pattern: str = "*/answers=*") -> list[str]:
+    """Completely written tables below a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = files.globStatus(path(f"{folder}/{pattern}/_SUCCESS")) or []
+    return sorted(s.getPath().getParent().toString() for s in done)
+
+
 def read_versions(spark: SparkSession, folder: str, upto: int) -> DataFrame:
     """All versions up to a number, at least one, as one table with their ``version``."""
     paths = [f"{folder}/version={v}" for v in stored_versions(spark, folder) if v <= upto]

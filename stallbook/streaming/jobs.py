@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from stallbook import config
@@ -219,3 +219,53 @@ def rolling_activity(
             F.col("window.end").alias("until"), "event_key", "active"
         )
     )
+
+
+def store_activity(
+    spark: SparkSession, folder: str, at: str = "seen_ts"
+) -> Callable[[DataFrame, int], None]:
+    """Daily panes of sightings(event_name, listing_id, ``at``) per micro-batch, for ``active_counts``.
+
+    A batch writes the listings it saw per event and day, one row each, and reads
+    nothing that is stored, so its work does not grow with history. A repeated
+    batch replaces its own panes; sightings may come however late.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        day = F.to_date(at).alias("day")
+        seen = batch.select(event_key(F.col("event_name")).alias("event_key"), "listing_id", day).where("day IS NOT NULL AND listing_id IS NOT NULL")
+        seen.distinct().write.mode("overwrite").partitionBy("day").parquet(snapshot_path(folder, batch_id))
+
+    return each
+
+
+def active_counts(
+    spark: SparkSession, folder: str, first: dt.date, last: dt.date, days: int = config.RECENT_DAYS
+) -> DataFrame:
+    """(event_key, until, active): listings seen in the ``days`` days before each day from ``first`` to ``last``; exact.
+
+    Only the panes of those days are read. A listing counts from the day after a
+    sighting until ``days`` later; its sightings are merged to spans without
+    overlap, and a running sum over the ends of spans gives the counts of all days.
+    Days on which nothing changes are filled; those without an active listing are left out.
+    """
+    oldest = first - dt.timedelta(days=days)
+    panes = spark.read.option("basePath", folder).parquet(*[
+        snapshot_path(folder, v) for v in stored_versions(spark, folder)]).where(F.col("day").between(F.lit(oldest), F.lit(last - dt.timedelta(days=1))))
+    # as many days as the range has
+    seen = panes.groupBy("event_key", "listing_id").agg(F.array_sort(F.collect_set("day")).alias("seen"))
+    end = lambda d: F.date_add(d, days + 1)
+    spans = F.transform("seen", lambda d, i: F.struct(
+        F.date_add(d, 1).alias("start"),
+        F.least(end(d), F.coalesce(F.date_add(F.get("seen", i + 1), 1), end(d))).alias("stop")))
+    changes = seen.select("event_key", F.explode(spans).alias("s")).select(
+        "event_key", F.explode(F.array(
+            F.struct(F.greatest("s.start", F.lit(first)).alias("until"), F.lit(1).alias("n")),
+            F.struct(F.greatest("s.stop", F.lit(first)).alias("until"), F.lit(-1).alias("n")))).alias("c"))
+    steps = changes.groupBy("event_key", "c.until").agg(F.sum("c.n").alias("n"))
+    running = W.partitionBy("event_key").orderBy("until")
+    levels = steps.select(
+        "event_key", "until", F.sum("n").over(running).alias("active"), F.lead("until").over(running).alias("following"))
+    through = F.least(F.lit(last), F.date_sub(F.coalesce("following", F.lit(last + dt.timedelta(days=1))), 1))
+    return levels.where((F.col("active") > 0) & (F.col("until") <= F.lit(last))).select(
+        "event_key", F.explode(F.sequence("until", through)).alias("until"), "active")
