@@ -14,9 +14,13 @@ _WORD = r"[^ \t\r\x0B\x0C]+"
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, pos, line_no, words, name): the lines that hold words, numbered in their document."""
+    """(doc_id, version, pos, line_no, words, name, check): the lines that hold words, numbered in their document.
+
+    ``name`` and ``check`` are two hashes of the line.
+    """
     lines = F.transform(F.split(whole_text(), "\n"), lambda x, i: F.struct(
-        i.alias("line_no"), F.regexp_count(x, F.lit(_WORD)).alias("words"), F.xxhash64(x).alias("name")))
+        i.alias("line_no"), F.regexp_count(x, F.lit(_WORD)).alias("words"), F.xxhash64(x).alias("name"),
+        F.xxhash64(F.lit("check"), x).alias("check")))
     return (
         docs.where(F.col("doc_id").isNotNull())
         .select("doc_id", F.xxhash64(whole_text()).alias("version"), F.posexplode(F.filter(lines, lambda s: s["words"] > 0)))
@@ -60,11 +64,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A run of whole lines with ``min_words`` words or more is deleted if the same run also starts
     earlier (smaller doc_id, or earlier in the document). Such runs are unions of the shortest ones
     of that size, those that begin and those that end at each line. A shortest run of m lines is
-    named by the classes of its first and its last 2^k lines, 2^k being m at most and over half of m.
+    named by the classes of its first and its last 2^k lines, 2^k being m at most and over half of m,
+    and by the second hashes of all its lines: names of 64 bits alone would mix up runs of a large corpus.
     """
     lines, levels = suffix_levels(docs, min_words)
     own = W.partitionBy("doc_id", "version").orderBy("pos")
-    item = F.struct("pos", "words", "line_no")
+    item = F.struct("pos", "words", "line_no", "check")
 
     def shortest(around):
         """Lines up to the first with which the words suffice; NULL beyond a gap or the end."""
@@ -81,14 +86,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         found = both.withColumn("_m", shortest(F.col(around))).where(m.isNotNull())
         near, far = F.struct("pos", "line_no"), F.struct(end["pos"].alias("pos"), end["line_no"].alias("line_no"))
         first, last = (near, far) if forward else (far, near)
-        return found.select("doc_id", "version", first.alias("_first"), last.alias("_last"), "_m").where(
+        content = F.transform(F.slice(around, F.lit(1), F.col("_m")), lambda x: x["check"])
+        content = F.xxhash64(content if forward else F.reverse(content)).alias("_content")
+        return found.select("doc_id", "version", first.alias("_first"), last.alias("_last"), "_m", content).where(
             F.col("_last.pos") - F.col("_first.pos") == m - 1)
 
     # m is at most min_words, so this is exact
     level = F.floor(F.log2(F.col("_m") + F.lit(0.5))).cast("int")
     candidates = runs("_ahead", True).unionByName(runs("_back", False)).distinct().select(
         "doc_id", "version", F.col("_first.pos").alias("pos"), F.col("_first.line_no").alias("first_line"),
-        F.col("_last.line_no").alias("last_line"), "_m", level.alias("level"))
+        F.col("_last.line_no").alias("last_line"), "_m", "_content", level.alias("level"))
     half = F.col("pos") + F.col("_m") - F.call_function("shiftleft", F.lit(1), F.col("level"))
     heads = levels.withColumnRenamed("name", "_head")
     tails = levels.select("doc_id", "version", F.col("pos").alias("_half"), "level", F.col("name").alias("_tail"))
@@ -96,12 +103,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         candidates.withColumn("_half", half)
         .join(heads, ["doc_id", "version", "pos", "level"])
         .join(tails, ["doc_id", "version", "_half", "level"])
-        .select("doc_id", "version", "pos", "first_line", "last_line", F.xxhash64("_head", "_tail", "_m").alias("_run"))
+        .select("doc_id", "version", "pos", "first_line", "last_line", "_content", F.xxhash64("_head", "_tail", "_m").alias("_run"))
     )
     named = materialise(named, f"{shared_folder(docs.sparkSession)}/runs")
     place = F.struct("doc_id", "version", "pos")
-    first = named.groupBy("_run").agg(F.min(place).alias("_origin"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    later = named.join(first, "_run").where(place != F.col("_origin")).select("doc_id", "version", "first_line", "last_line").distinct()
+    first = named.groupBy("_run", "_content").agg(F.min(place).alias("_origin"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    later = named.join(first, ["_run", "_content"]).where(place != F.col("_origin")).select("doc_id", "version", "first_line", "last_line").distinct()
     upto = W.partitionBy("doc_id", "version").orderBy("first_line", "last_line")
     begins = F.coalesce(F.col("first_line") > F.max("last_line").over(upto.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True))
     return (
@@ -119,22 +126,25 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     run go with it. A NULL text stays NULL, a row without doc_id is neither compared nor changed,
     repeated rows (one doc_id and text) are one document and change alike.
 
-    Adds n_lines, n_removed (lines) and n_runs; ``text`` is what is left.
+    Adds n_lines, n_removed (lines) and n_runs, in place of columns of that name; ``text`` is what is
+    left. Other columns may have any names.
     """
-    runs = repeated_runs(docs, min_words).groupBy("doc_id", "version").agg(
-        F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("_runs")).select(
-        F.col("doc_id").alias("_doc_id"), F.col("version").alias("_version"), "_runs")
-    found = docs.join(
-        runs, (F.col("doc_id") == F.col("_doc_id")) & (F.xxhash64(whole_text()) == F.col("_version")), "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.exists("_runs", lambda r: (i >= r["first_line"]) & (i <= r["last_line"])))
-    removed = F.aggregate("_runs", F.lit(0).cast("long"), lambda acc, r: acc + r["last_line"] - r["first_line"] + 1)
-    n_lines = F.size(F.split(whole_text(), "\n")).cast("long")
-    return found.withColumns({
-        "n_lines": n_lines, "n_removed": F.coalesce(removed, F.lit(0).cast("long")),
-        "n_runs": F.coalesce(F.size("_runs"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-    }).drop("_doc_id", "_version", "_runs")
+    runs = repeated_runs(docs.select("doc_id", "text"), min_words).groupBy("doc_id", "version").agg(
+        F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("runs"))
+    # the row as one value, so that no column of it clashes with those of the join
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("version"))
+    found = rows.join(runs.withColumnRenamed("doc_id", "id"), ["id", "version"], "left")
+    text = F.col("doc.text")
+    lines = F.split(text, "\n")
+    kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["first_line"]) & (i <= r["last_line"])))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["last_line"] - r["first_line"] + 1)
+    new = {
+        "text": F.when(F.col("runs").isNull(), text).otherwise(F.array_join(kept, "\n")),
+        "n_lines": F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long"),
+        "n_removed": F.coalesce(removed, F.lit(0).cast("long")), "n_runs": F.coalesce(F.size("runs"), F.lit(0)).cast("long"),
+    }
+    own = [c for c in docs.columns if c not in new]
+    return found.select(*[F.col("doc")[c].alias(c) for c in own], *[c.alias(name) for name, c in new.items()])
 
 
 LINE_SQL = f"""
