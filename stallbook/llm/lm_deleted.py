@@ -124,7 +124,7 @@ def _answered(group: pa.Table) -> pa.Table:
     own = np.concatenate([_unpacked(x, np.uint32) for x in group["counts"].to_pylist()])
     counts = np.bincount(place, own, len(distinct)).astype(np.uint64)
     ends = np.cumsum([len(p) for p in parts])
-    replies = [_packed(np.minimum(counts[place[e - len(p): e]], 0xFFFFFFFF).astype(np.uint32)) for p, e in zip(parts, ends.tolist())]
+    replies = [_packed(counts[place[e - len(p): e]]) for p, e in zip(parts, ends.tolist())]
     n = len(replies)
     totals = [int((counts > 0).sum())] + [0] * (n - 1), [int(counts.sum())] + [0] * (n - 1)
     return pa.table({"kind": group["kind"], "shard": group["shard"], "chunk": group["chunk"], "reply": pa.array(replies, pa.binary()),
@@ -140,7 +140,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, _Tokens,
             found = []
             for kind, values in ((1, chunk.tokens), (2, chunk.pairs())):
                 _, place = np.unique(values, return_inverse=True)
-                counts = np.concatenate([_unpacked(r["reply"], np.uint32) for r in replies if r["kind"] == kind])
+                counts = np.concatenate([_unpacked(r["reply"], np.uint64) for r in replies if r["kind"] == kind])
                 found.append(counts[place].astype(np.float64))
             single, pair = found
             context = np.empty_like(single)
