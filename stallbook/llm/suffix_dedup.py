@@ -19,8 +19,9 @@ GRAM = 32
 SLICE = 1 << 19
 #: segments among which equal ones are merged before they are shuffled
 HELD = 100_000
-#: bytes of one suffix array (a group of windows that must stay together may be larger)
+#: bytes of one suffix array; the segments of an anchor with more go on window by window
 SHARD = 1 << 20
+_OTHER = np.random.default_rng(100).permutation(256).astype(np.uint8)
 _VERSION_BITS = 23
 
 
@@ -160,7 +161,51 @@ def _segment_batch(*columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _SEGMENT_NAMES)
 
 
-def _repeats(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+_WINDOW_NAMES = ["w1", "w2", "doc_id", "version", "start", "again"]
+_WINDOW_SCHEMA = "w1 long, w2 long, doc_id long, version long, start long, again boolean"
+
+
+def _windows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Every window of the segments by two hashes; of equal ones in a batch all but the earliest are known to repeat."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            pieces = [x.as_buffer().to_pybytes() for x in part.column(5)]
+            data = np.frombuffer(b"".join(pieces), np.uint8)
+            counts = part.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = np.array([len(p) for p in pieces], np.int64)
+            owner = np.repeat(np.arange(len(pieces)), counts)
+            offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            begin = (np.cumsum(sizes) - sizes)[owner] + offset
+            w1, w2 = (wordhash.spans(wordhash.prefix(x), begin, begin + length).view(np.int64) for x in (data, _OTHER[data]))
+            doc, version, start = (part.column(k).to_numpy(zero_copy_only=False)[owner] for k in (1, 2, 3))
+            start = start + offset
+            order = np.lexsort((start, version, doc, w2, w1))
+            columns = [c[order] for c in (w1, w2, doc, version, start)]
+            again = np.append(False, (np.diff(columns[0]) == 0) & (np.diff(columns[1]) == 0))[: len(order)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.array(again)], _WINDOW_NAMES)
+
+
+def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All but the earliest of equal windows; rows come sorted by hashes, then by place."""
+    last = None
+    for batch in batches:
+        w1, w2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        again = np.append(last is not None and len(w1) > 0 and last == (w1[0], w2[0]), (np.diff(w1) == 0) & (np.diff(w2) == 0))[: len(w1)]
+        if len(w1):
+            last = (w1[-1], w2[-1])
+        yield batch.filter(pa.array(again.astype(bool))).select(["doc_id", "version", "start"])
+
+
+def _in_hot_anchors(segments: DataFrame, shard: int) -> tuple[DataFrame, DataFrame]:
+    """(segments of the other anchors, segments of those with more than ``shard`` bytes)."""
+    hot = segments.groupBy("h").agg(F.sum(F.octet_length("data")).alias("_bytes")).where(F.col("_bytes") > shard).select("h", F.lit(True).alias("_hot"))
+    both = segments.join(hot, "h", "left")
+    names = _SEGMENT_NAMES
+    return both.where("_hot IS NULL").select(*names), both.where("_hot").select(*names)
+
+
+def _repeats(batches: Iterable[pa.RecordBatch], length: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Runs of windows that start earlier elsewhere; rows come sorted by anchor, then by place."""
     names = ["doc_id", "version", "start", "n"]
 
@@ -228,7 +273,7 @@ def _repeats(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         if len(own) < 2:
             continue
         more = sum(len(r[5]) for r in own)
-        if rows and size + more > SHARD:
+        if rows and size + more > limit:
             yield shard(rows)
             rows, size = [], 0
         rows += own
@@ -266,7 +311,7 @@ def _cut(batches: Iterable[pa.RecordBatch], length: int, with_text: bool) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names[: len(columns)])
 
 
-def dedup_strings(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
+def dedup_strings(docs: DataFrame, length: int = 100, with_text: bool = False, shard: int = SHARD) -> DataFrame:
     """Removes from every row of ``docs`` (doc_id, text) each byte in a string of ``length`` bytes that starts earlier too.
 
     Earlier is a smaller doc_id, or an earlier start in the same text; texts are judged as they came
@@ -278,7 +323,9 @@ def dedup_strings(docs: DataFrame, length: int = 100, with_text: bool = False) -
     stands for all, so large groups of copies and frequent passages arrive once per batch. The
     different pieces of an anchor form a shard's text. Its suffix array is made by induced sorting;
     with the permuted common prefixes, windows that share ``length`` bytes are neighbours, and all
-    but the earliest are repeats.
+    but the earliest are repeats. The segments of an anchor with more than ``shard`` bytes, such as
+    a phrase of many texts in different surroundings, do not meet in one array: their windows are dealt by two
+    64-bit hashes of the whole window, and all but the earliest of equal ones are repeats.
 
     A NULL text is empty. Rows without doc_id are not compared and lose nothing. Rows of one doc_id
     with different texts are ordered by a hash of the text; equal rows are one document and lose the
@@ -315,10 +362,17 @@ def dedup_strings(docs: DataFrame, length: int = 100, with_text: bool = False) -
     segments = real.select("doc_id", "version", binary).join(by_text, ["doc_id", "version"]).select(
         "doc_id", "version", "data", "runs").mapInArrow(lambda it: _segments(it, length), _SEGMENT_SCHEMA)
     segments = materialise(segments, f"{folder}/segments")
-    shards = segments.where("h IS NOT NULL").repartition("h").sortWithinPartitions("h", "doc_id", "version", "start")
-    found = shards.mapInArrow(lambda it: _repeats(it, length), "doc_id long, version long, start long, n long")
+    bounded, hot = _in_hot_anchors(segments.where("h IS NOT NULL"), shard)
+    shards = bounded.repartition("h").sortWithinPartitions("h", "doc_id", "version", "start")
+    found = shards.mapInArrow(lambda it: _repeats(it, length, shard), "doc_id long, version long, start long, n long")
+    windows = materialise(hot.mapInArrow(lambda it: _windows(it, length), _WINDOW_SCHEMA), f"{folder}/windows")
+    dealt = windows.where("NOT again").repartition("w1", "w2").sortWithinPartitions("w1", "w2", "doc_id", "version", "start")
+    single = dealt.mapInArrow(_later, "doc_id long, version long, start long").unionByName(
+        windows.where("again").select("doc_id", "version", "start"))
+    one = F.lit(1).cast("long").alias("n")
     repeats = (
-        found.unionByName(segments.where("h IS NULL").select("doc_id", "version", "start", F.col("n").cast("long").alias("n")))
+        found.unionByName(single.select("doc_id", "version", "start", one))
+        .unionByName(segments.where("h IS NULL").select("doc_id", "version", "start", F.col("n").cast("long").alias("n")))
         .unionByName(copies.select("doc_id", "version", F.lit(0).cast("long").alias("start"),
                                    (F.col("size") - (length - 1)).cast("long").alias("n")))
     )
