@@ -143,8 +143,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "n_lines": F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long"),
         "n_removed": F.coalesce(removed, F.lit(0).cast("long")), "n_runs": F.coalesce(F.size("runs"), F.lit(0)).cast("long"),
     }
-    own = [c for c in docs.columns if c not in new]
-    return found.select(*[F.col("doc")[c].alias(c) for c in own], *[c.alias(name) for name, c in new.items()])
+    done = found.select("doc", F.struct(*[c.alias(name) for name, c in new.items()]).alias("new"))
+    return done.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in new], *[F.col("new")[c].alias(c) for c in new])
 
 
 LINE_SQL = f"""
