@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from stallbook.llm.common import materialise, shared_folder, whole_text
@@ -15,8 +17,8 @@ LEVELS = ((4, 4), (4, 4), (16, 12), (64, 16), (256, 12))
 SUBSETS = sum(n for _, n in LEVELS)
 #: levels from here on hold few terms of a text
 _FINE = sum(n for m, n in LEVELS if m < 16)
-#: ids per part in which the next row is looked up, and parts per larger part
-SPAN = 256
+#: rows per part in which the next row is looked up, and ranges of ids at most, which are cut into parts
+SPAN, MOST_RANGES = 256, 65_536
 #: parts up to which their list (two numbers each) is broadcast; beyond it texts are shuffled for the join
 BROADCAST_PARTS = 1_000_000
 
@@ -124,13 +126,35 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(any_ == 0, F.lit(1.0)).otherwise(same / any_)
 
 
+def _parted(docs: DataFrame) -> DataFrame:
+    """Adds ``_part``: consecutive ranges of doc_id with about SPAN rows, numbered in order; NULL without doc_id.
+
+    The ids are cut at their quantiles into MOST_RANGES ranges at most, and each range evenly into
+    parts; so parts are filled alike for running numbers, sparse numbers and hashes.
+    """
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").withColumn("_id", F.col("doc_id").cast("double"))
+    ranges = min(MOST_RANGES, -(-ids.count() // (SPAN * SPAN)))
+    cuts = sorted(set(ids.approxQuantile("_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    if cuts:
+        cut = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_id", outputCol="_range", handleInvalid="keep").transform
+    else:
+        cut = lambda rows: rows.withColumn("_range", F.lit(0.0))
+    sizes = cut(ids).groupBy("_range").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.count("*").alias("_n"))
+    # one row a range
+    sizes = materialise(sizes.select("_range", "_low", F.greatest(
+        (F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_n") / SPAN), F.lit(1.0)).alias("_width")), f"{shared_folder(docs.sparkSession)}/ranges")
+    part = F.shiftleft(F.col("_range").cast("long"), 32) + F.floor((F.col("_id") - F.col("_low")) / F.col("_width"))
+    placed = cut(docs.withColumn("_id", F.col("doc_id").cast("double"))).join(F.broadcast(sizes), "_range", "left")
+    return placed.withColumn("_part", F.when(F.col("doc_id").isNotNull(), part)).drop("_id", "_range", "_low", "_width")
+
+
 def _previous_parts(docs: DataFrame) -> DataFrame:
-    """(part, id): for each part of SPAN ids the largest id of the part below, for the lowest the largest of all.
+    """(part, id): for each part (``_parted``) the largest id of the part below, for the lowest the largest of all.
 
-    Two steps of sums: the last one sees one row per SPAN * 1024 ids.
+    Two steps: the last one sees one row a range.
     """
-    parts = docs.where(F.col("doc_id").isNotNull()).groupBy(F.floor(F.col("doc_id") / SPAN).alias("_part")).agg(F.max("doc_id").alias("_top"))
-    parts = parts.withColumn("_large", F.floor(F.col("_part") / 1024))
+    parts = docs.where(F.col("doc_id").isNotNull()).groupBy("_part").agg(F.max("doc_id").alias("_top"))
+    parts = parts.withColumn("_large", F.shiftright("_part", 32))
     inner = W.partitionBy("_large").orderBy("_part")
     parts = parts.withColumn("_below", F.lag("_top").over(inner))
     large = parts.groupBy("_large").agg(F.max("_top").alias("_large_top"))
@@ -146,7 +170,7 @@ def fingerprints_with_edits(docs: DataFrame, least: float = LEAST_SHARE, most: f
 
     The edited text has the last half of the code points replaced by the first as many of the next
     row, by descending doc_id; the next of the last is the first. Rows meet their next one within
-    parts of SPAN ids, into which the top row of the part below is copied, so texts are shuffled
+    parts of about SPAN rows, into which the top row of the part below is copied, so texts are shuffled
     once (twice beyond BROADCAST_PARTS parts). Ties of doc_id follow by text. A NULL text is empty; a row without doc_id has no next one
     (an empty text instead). A text without lexicon terms has dashes in
     the first place and then hashes of all its terms; one without any terms has dashes only.
@@ -156,10 +180,10 @@ def fingerprints_with_edits(docs: DataFrame, least: float = LEAST_SHARE, most: f
     plain = docs.select("doc_id", whole_text().alias("text"))
     words = lexicon(plain, least, most)
     no_id = F.col("doc_id").isNull()
-    own = plain.select(
-        "doc_id", "text", F.lit(False).alias("_ghost"), no_id.alias("_no_id"),
-        F.coalesce(F.floor(F.col("doc_id") / SPAN), F.xxhash64("text")).alias("_part"))
-    parts = materialise(_previous_parts(plain), f"{shared_folder(docs.sparkSession)}/parts")
+    placed = _parted(plain)
+    own = placed.select(
+        "doc_id", "text", F.lit(False).alias("_ghost"), no_id.alias("_no_id"), F.coalesce("_part", F.xxhash64("text")).alias("_part"))
+    parts = materialise(_previous_parts(placed), f"{shared_folder(docs.sparkSession)}/parts")
     small = parts.count() <= BROADCAST_PARTS
     ghosts = (
         plain.join(F.broadcast(parts) if small else parts, F.col("doc_id") == F.col("_ghost_id"))
