@@ -141,7 +141,7 @@ def track_prices(spark, sf_dir):
     """The same fold as a stream over three arrivals, cut inside days and in no order."""
     base = shared_folder(spark)
     columns = (F.col("user_id").cast("string").alias("listing_id"), F.col("ts").alias("scan_ts"), F.col("value").alias("ask_unit"), F.col("event_id").alias("seq"))
-    each = J.track_prices(spark, base + "/out")
+    each = J.track_prices(spark, base + "/out", buckets=8)
     for _ in mixed_slices(spark, sf_dir, base, columns):
         stream = spark.readStream.schema("listing_id STRING, scan_ts TIMESTAMP, ask_unit DOUBLE, seq BIGINT").parquet(base + "/in")
         finish(J.start(stream, base + "/checkpoint", each=each))

@@ -11,8 +11,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from stallbook import config
 from stallbook.functions.keys import event_key
 from stallbook.operators.pages import first_wins
-from stallbook.operators.state import conform, fold_prices, merge_scans, scan_days
+from stallbook.operators.state import PRICE_STATE, _fold, conform, fold_prices, merge_scans, scan_days
 from stallbook.schemas import LISTING, REVIEW_COLUMNS
+from stallbook.sources.commits import BUCKETS, Run, RunStore
+from stallbook.sources.scratch import materialise, shared_folder
 from stallbook.sources.tables import (
     RAW_AD_OPTIONS, RAW_AD_TEXT, read_store, read_versions, stored_versions, typed_ads,
 )
@@ -162,42 +164,80 @@ def review_queue(spark: SparkSession, folder: str, upto: int) -> DataFrame:
 # --- price progression ----------------------------------------------------------------------
 
 
+PRICES = "listing_id STRING, " + PRICE_STATE.removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
+
+
+def _next_batch(store: RunStore, batch: DataFrame, batch_id: int, name: str) -> str | None:
+    """A digest of the batch if it is the next one of a store, None if it was committed before."""
+    digest = str(tuple(batch.agg(F.count("*"), F.bit_xor(F.xxhash64(*batch.columns))).first()))
+    entry = store.record()["tables"].get(name, {})
+    last = entry.get("batch", -1)
+    if batch_id == last and digest == entry["digest"]:
+        return None
+    if batch_id != last + 1:
+        raise RuntimeError(f"{store.folder} stands at batch {last}, not before {batch_id}: continue with its checkpoint or take a new folder")
+    return digest
+
+
 def track_prices(
-    spark: SparkSession, folder: str
+    spark: SparkSession, folder: str, buckets: int = BUCKETS
 ) -> Callable[[DataFrame, int], None]:
     """scans(listing_id, scan_ts, ask_unit, seq) per micro-batch → price state per listing.
 
-    The state is the batch fold over all days of the listings of the batch. It
-    is kept in files instead of a state store: nothing expires, a listing that
-    returns after any pause goes on where it was, and a scan may come
-    however late. A repeated batch replaces its own files.
+    The states are a committed table in buckets by listing: a batch reads and writes the
+    buckets of its own listings, and their days go on from the stored state. The
+    days are kept as well, but read only for listings of the batch with a day that is not
+    after their last one: these are folded anew from all their days, so a
+    scan may come however late and a day in parts. Nothing expires, a listing that returns after
+    any pause goes on where it was. A repeated batch is seen and left out.
     """
+    store = RunStore(spark, folder, {"prices": "listing_id"}, buckets)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        scans = batch.withColumn("scan_date", F.to_date("scan_ts"))
-        new = first_wins(scans, ["listing_id", "scan_date"], F.col("seq").desc()).select(
-            "listing_id", "scan_date", "seq", "ask_unit"
-        )
-        version_before(spark, folder + "/state", batch_id)
-        days, _ = _all_days(spark, folder + "/days", new, batch_id, ["listing_id"])
-        fold_prices(days).write.mode("overwrite").parquet(snapshot_path(folder + "/state", batch_id))
+        rows = batch.persist()
+        digest = _next_batch(store, rows, batch_id, "prices")
+        if digest is not None:
+            scans = rows.withColumn("scan_date", F.to_date("scan_ts"))
+            new = first_wins(scans, ["listing_id", "scan_date"], F.col("seq").desc()).select(
+                "listing_id", "scan_date", "seq", "ask_unit", F.lit(batch_id).alias("batch"))
+            tx = store.begin()
+            if "prices" not in tx.tables:
+                tx.put("prices", spark.createDataFrame([], PRICES))
+            new = tx.append("days", new)
+            _fold_into(tx, new)
+            tx.note("prices", batch=batch_id, digest=digest)
+            tx.commit()
+        rows.unpersist()
 
     return each
 
 
+def _fold_into(tx: Run, new: DataFrame) -> None:
+    """Brings the stored states of the listings of ``new`` (days of one batch) up to date."""
+    folder = shared_folder(new.sparkSession)
+    state = tx.read("prices", tx.touched("prices", new))
+    mine = new.groupBy("listing_id").agg(
+        F.array_sort(F.collect_list(F.struct("scan_date", "ask_unit"))).alias("days"), F.min("scan_date").alias("day"))
+    stored = state.select("listing_id", F.struct(*state.columns[1:]).cast(PRICE_STATE).alias("s"))
+    known = materialise(mine.join(stored, "listing_id", "left"), folder + "/known")
+    late = known.where("day <= s.last_seen").select("listing_id")
+    changed = known.where("s IS NULL OR day > s.last_seen").select("listing_id", _fold(F.col("days"), F.col("s")).alias("s")).select("listing_id", "s.*")
+    if not late.isEmpty():
+        days = tx.read("days").join(late, "listing_id", "left_semi").withColumn("order", F.struct("seq", "batch"))
+        changed = changed.unionByName(fold_prices(days, seq="order"))
+    changed = materialise(changed, folder + "/changed").select("listing_id", F.struct(*state.columns[1:]).alias("new"))
+    tx.update("prices", new, lambda old: old.select("listing_id", F.struct(*old.columns[1:]).alias("old")).join(
+        changed, "listing_id", "full_outer").select("listing_id", F.coalesce("new", "old").alias("s")).select("listing_id", "s.*"))
+
+
 def tracked_prices(
     spark: SparkSession, folder: str, grace_days: int = config.INACTIVE_GRACE_DAYS
 ) -> DataFrame:
     """Newest state of every listing; inactive when the newest day of all is past its grace period."""
-    last = max(stored_versions(spark, folder + "/state"))
-    states = read_versions(spark, folder + "/state", last)
+    states = RunStore(spark, folder).read("prices")
     newest = states.agg(F.max("last_seen")).scalar()
     gone = F.datediff(newest, F.col("last_seen")) >= grace_days
-    return (
-        first_wins(states, ["listing_id"], F.col("version").desc())
-        .drop("version")
-        .withColumn("status", F.when(gone, config.INACTIVE).otherwise(config.ACTIVE))
-    )
+    return states.withColumn("status", F.when(gone, config.INACTIVE).otherwise(config.ACTIVE))
 
 
 # --- rolling activity ------------------------------------------------------------------------

@@ -139,3 +139,33 @@ def test_enrich_reads_its_input_once(spark):
     rows = SC.batch(spark, "/root/testdata/sf0.001")
     plan = E.enrich(rows, SC.part_venues(spark, "/root/testdata/sf0.001"), SC.SCAN)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1
+
+
+def test_price_stream_reads_stored_days_of_late_listings_only(spark, tmp_path, monkeypatch):
+    """Twenty days in order leave the stored days unread, and touch the buckets of their listings only; a late one reads them."""
+    folder = str(tmp_path / "prices")
+    each = J.track_prices(spark, folder, buckets=8)
+    scans = lambda rows: spark.createDataFrame(rows, "listing_id string, scan_ts timestamp, ask_unit double, seq long")
+    start = dt.datetime(2024, 1, 1, 9)
+    read, seen, written = J.Run.read, [], []
+    monkeypatch.setattr(J.Run, "read", lambda self, name, *a: seen.append(name) or read(self, name, *a))
+    for k in range(20):
+        day = start + dt.timedelta(days=k)
+        each(scans([("a", day, 10.0 + k // 9, 2 * k), (f"x{k}", day, 5.0, 2 * k + 1)]), k)
+        written.append(len([v for v in J.RunStore(spark, folder).record()["tables"]["prices"]["versions"] if v >= k * 10**9]))
+    assert "days" not in seen and max(written[1:]) <= 2
+    each(scans([("a", start + dt.timedelta(days=19), 12.0, 39)]), 19 + 1)  # the last day in a second part
+    assert seen.count("days") == 1
+    with pytest.raises(RuntimeError):
+        each(scans([("b", start, 1.0, 1)]), 3)
+    with pytest.raises(RuntimeError):
+        each(scans([("b", start, 1.0, 1)]), 20)
+    each(scans([("a", start + dt.timedelta(days=19), 12.0, 39)]), 20)  # repeated
+    got = {r.listing_id: r for r in J.tracked_prices(spark, folder).collect()}
+    a = got["a"]
+    assert len(got) == 21 and (a.scan_count, a.price_changes, a.price_current, a.price_prev7) == (20, 2, 12.0, 11.0)
+    stored = J.RunStore(spark, folder).read("days")
+    from stallbook.operators.state import fold_prices
+
+    whole = {r.listing_id: r for r in fold_prices(stored.withColumn("o", F.struct("seq", "batch")), seq="o").collect()}
+    assert all(got[i].asDict().items() >= whole[i].asDict().items() for i in whole) and len(whole) == 21
