@@ -247,3 +247,21 @@ def age_cutoff(spark, sf_dir):
 def newest(spark, sf_dir):
     top = P.newest(posted(spark, sf_dir), 90, "seq")
     return top.select("listing_id", F.col("posted_on").cast("string").alias("posted_on"))
+
+
+@check(
+    "page_ads_of_a_run",
+    f"""WITH {EP_SQL}, {BODY_SQL}, ads AS (SELECT page_id, CASE WHEN regexp_matches(url, '-\\d+/?$') THEN regexp_extract(url, '-(\\d+)/?$', 1) ELSE url END AS listing_id,
+      url AS listing_url, {TITLE} AS title, {PRICE_SQL} AS price_raw, {TYPE_SQL} AS seller_type, CAST({DATE_SQL} AS DATE) AS posted_on FROM bodies),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY listing_url) AS rk FROM ads WHERE (posted_on IS NULL OR posted_on >= DATE '{TODAY - dt.timedelta(days=3)}')
+      AND listing_id NOT IN (SELECT listing_id FROM ads WHERE page_id % 7 = 0))
+    SELECT listing_id, listing_url, title, price_raw, seller_type, CAST(posted_on AS VARCHAR) AS posted_on FROM kept WHERE rk = 1""",
+)
+def ads_of_a_run(spark, sf_dir):
+    """Pages to the adverts of a first run: extracted, young enough, not stored yet."""
+    from stallbook.plans.runs import ads_of_pages
+
+    every = enriched_pages(spark, sf_dir)
+    stored = P.extract_ads(every.where(F.col("page_id") % 7 == 0), TODAY, SITE).select("listing_id")
+    ads = ads_of_pages(every, TODAY, stored, SITE, first_run=True)
+    return ads.select("listing_id", "listing_url", "title", "price_raw", "seller_type", F.col("posted_on").cast("string").alias("posted_on"))

@@ -76,7 +76,7 @@ REASON_STRUCTURED = "Structured-Output-Parse-Fehler"
 REASON_TEXT = "JSON-Extraktion fehlgeschlagen"
 REASON_LEGACY = "Ollama-Fehler oder leere Antwort"
 
-# --- thresholds ---------------------------------------------------------------
+# --- fixed values: thresholds ---------------------------------------------------
 PLAUSIBLE_TOTAL, PLAUSIBLE_UNIT, PLAUSIBLE_REF_FACTOR = 300.0, 150.0, 2.0
 REF_CONFLICT_SHARE = 0.05
 PRICE_HISTORY_DAYS, INACTIVE_GRACE_DAYS, RECENT_DAYS = 7, 21, 7

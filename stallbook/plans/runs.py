@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stallbook import config
 from stallbook.functions.keys import strip, verification_key
@@ -15,10 +15,11 @@ from stallbook.operators.extraction import Extractor, parse_incremental
 from stallbook.operators.matching import (
     match_own_candidates, store_get, store_put, unverified, verification_status, write_back,
 )
-from stallbook.operators.pages import first_wins
+from stallbook.operators.pages import age_cutoff, extract_ads, first_wins, newest
 from stallbook.operators.refprice import apply_ref_prices, lookup_ref_prices
 from stallbook.operators.state import apply_scan, archive_additions, conform
 from stallbook.sources.scratch import materialise
+from stallbook.sources.tables import missing_from
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,27 @@ def finish_run(
     )
 
 
+def ads_of_pages(
+    pages: DataFrame,
+    as_of: dt.date,
+    stored: DataFrame | None = None,
+    site: config.SiteProfile = config.SiteProfile(),
+    first_run: bool = False,
+    limit: int | None = None,
+    scraped_at: Column | None = None,
+) -> DataFrame:
+    """Stored pages → the adverts a run works on (``Inputs.ads``).
+
+    Extracted, within the age window of the run, without the ids of ``stored``, and
+    only the newest ``limit`` if one is given. The first copy of an id counts.
+    """
+    ads = age_cutoff(extract_ads(pages, as_of, site, scraped_at), as_of, first_run)
+    if stored is not None:
+        ads = missing_from(ads, stored, "listing_id")
+    ads = first_wins(ads, ["listing_id"], F.col("listing_url"))
+    return ads if limit is None else newest(ads, limit, "listing_id")
+
+
 @dataclass(frozen=True)
 class Inputs:
     """Stored tables a full run reads."""

@@ -16,7 +16,7 @@ _SHIPPED = "stallbook.shipped"
 def ship_package(spark: SparkSession) -> None:
     """Sends the package to the Python workers, once per session.
 
-    Only the model calls and the stateful stream run Python on executors.
+    Only the model calls and the corpus operators run Python on executors.
     """
     if spark.conf.get(_SHIPPED, "") == spark.sparkContext.applicationId:
         return
