@@ -216,6 +216,21 @@ def quality_labels(spark, sf_dir):
     return E.label_counts(E.quality_labels(manual_prices(spark, sf_dir)))
 
 
+@check(
+    "enrich_label_rows",
+    f"""WITH {FINAL_SQL} SELECT listing_id, s5 AS line,
+      CASE WHEN ref_source IN ('oeticket', 'myticket', 'konzerthaus') THEN 'provider' WHEN ref_source = 'Anzeige' THEN 'listing'
+        WHEN coalesce(ref_price, 0) = 0 THEN 'missing' END AS ref_label, confidence AS confidence_label,
+      CASE WHEN ref_final_source = 'konflikt' THEN 'konflikt' WHEN ref_final_source = 'extrahiert' THEN 'extrahiert'
+        WHEN ref_final_source IN ('manuell', 'beide_übereinstimmend') THEN 'manuell' ELSE 'fehlt' END AS final_label,
+      verif_status AS verif_label FROM final""",
+)
+def label_rows(spark, sf_dir):
+    """The four labels of every row."""
+    rows = E.quality_labels(manual_prices(spark, sf_dir))
+    return rows.select("listing_id", F.col("seq.l_linenumber").alias("line"), "ref_label", "confidence_label", "final_label", "verif_label")
+
+
 @check(
     "enrich_key_normalisers",
     f"""WITH {LISTINGS_SQL}, n AS (SELECT DISTINCT '  ' || upper(event_name) || '!  (' || category || ') ' AS name, event_date FROM listings)

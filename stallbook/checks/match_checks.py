@@ -318,6 +318,12 @@ def cache_purge(spark, sf_dir):
     return both.agg(F.max(F.when(F.col("k") == "purged", F.col("n"))).alias("purged"), F.max(F.when(F.col("k") == "kept", F.col("n"))).alias("kept"))
 
 
+@check("cache_purge_rows", f"WITH {STORE_SQL} SELECT {SHOWN} FROM store WHERE cached_on >= DATE '1998-07-26'")
+def cache_purge_rows(spark, sf_dir):
+    """What a purge leaves."""
+    return shown(M.store_purge(store(spark, sf_dir), TODAY)[0])
+
+
 # --- write-back and the whole verification run -------------------------------------------------
 
 
