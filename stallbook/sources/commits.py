@@ -34,7 +34,8 @@ class RunStore:
     """Committed tables under ``folder``.
 
     ``keyed`` gives the key column of the tables that are kept in buckets; all others consist of
-    parts that runs append or replace.
+    parts that runs append or replace. One run is written at a time: of two, the second to
+    commit gets ``RunConflict``, or fails before where both write one keyed table.
     """
 
     def __init__(self, spark: SparkSession, folder: str, keyed: dict[str, str] | None = None, buckets: int = BUCKETS):
