@@ -128,9 +128,7 @@ def test_venues_within_the_row(spark, monkeypatch, most):
     rows = E.with_venue(spark.createDataFrame(names, "venue string"), E.venue_dimension(spark), with_city=True)
     got = {r.venue: (r.venue_norm, r.venue_type, r.city) for r in rows.collect()}
     assert got[None] == got[""] == (None, None, None) and got["Unbekannte Halle Linz"][0] == "Unbekannte Halle Linz"
-    assert got["happel stadion"][0] == got["Ernst Happel Wien"][0] != "happel stadion" and got[" GASOMETER "][0] == "Gasometer"
-    scans = rows._jdf.queryExecution().optimizedPlan().toString().count("venue#")
-    assert scans > 0
+    assert got["happel stadion"][0] == got["Ernst Happel Wien"][0] != "happel stadion" and got[" GASOMETER "][0] == "Gasometer Wien"
 
 
 def test_enrich_reads_its_input_once(spark):
