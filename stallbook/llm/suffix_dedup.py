@@ -21,6 +21,8 @@ SLICE = 1 << 19
 HELD = 100_000
 #: bytes of one suffix array; the segments of an anchor with more go on window by window
 SHARD = 1 << 20
+#: anchors (a number each) up to which their list is broadcast; beyond it segments are shuffled for the join
+BROADCAST_ANCHORS = 100_000
 _OTHER = np.random.default_rng(100).permutation(256).astype(np.uint8)
 _VERSION_BITS = 23
 
@@ -199,10 +201,10 @@ def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _in_hot_anchors(segments: DataFrame, shard: int) -> tuple[DataFrame, DataFrame]:
     """(segments of the other anchors, segments of those with more than ``shard`` bytes)."""
-    hot = segments.groupBy("h").agg(F.sum(F.octet_length("data")).alias("_bytes")).where(F.col("_bytes") > shard).select("h", F.lit(True).alias("_hot"))
-    both = segments.join(hot, "h", "left")
-    names = _SEGMENT_NAMES
-    return both.where("_hot IS NULL").select(*names), both.where("_hot").select(*names)
+    hot = segments.groupBy("h").agg(F.sum(F.octet_length("data")).alias("_bytes")).where(F.col("_bytes") > shard).select("h")
+    hot = materialise(hot, f"{shared_folder(segments.sparkSession)}/hot")
+    known = F.broadcast(hot) if hot.count() <= BROADCAST_ANCHORS else hot
+    return segments.join(known, "h", "left_anti").select(*_SEGMENT_NAMES), segments.join(known, "h", "left_semi").select(*_SEGMENT_NAMES)
 
 
 def _repeats(batches: Iterable[pa.RecordBatch], length: int, limit: int) -> Iterator[pa.RecordBatch]:
