@@ -167,3 +167,26 @@ def test_price_stream_reads_stored_days_of_late_listings_only(spark, tmp_path, m
 
     whole = {r.listing_id: r for r in fold_prices(stored.withColumn("o", F.struct("seq", "batch")), seq="o").collect()}
     assert all(got[i].asDict().items() >= whole[i].asDict().items() for i in whole) and len(whole) == 21
+
+
+def test_waves_do_not_grow_with_the_prompts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "WAVES", 3)
+    prompts = spark.createDataFrame([(str(i), f"p{i}") for i in range(60)], "listing_id string, prompt string")
+    calls, log = tmp_path / "calls", tmp_path / "log"
+    rows = X.ask(prompts, [("m", Model(calls))], str(log), wave=5).collect()
+    assert {r.listing_id: r.raw for r in rows} == {str(i): f"P{i}" for i in range(60)} and len(lines(calls)) == 60
+    assert len(list(log.glob("attempt-*/answers=*"))) == 3
+
+
+def test_adverts_are_put_together_once(spark, tmp_path, monkeypatch):
+    from stallbook.operators import enrich as E
+
+    ad = ("1", "http://x", "Konzert Tickets", "€ 5", "Verkaufe 2 Tickets für Konzert", "Privat", "A", "S1", "", None, None)
+    ads = spark.createDataFrame([ad], "listing_id string, listing_url string, title string, price_raw string, body string, seller_type string, "
+                                "seller_name string, seller_id string, member_since string, posted_on date, scraped_at timestamp")
+    asked = []
+    real = X.ask
+    monkeypatch.setattr(X, "ask", lambda prompts, *a, **k: asked.append(prompts.inputFiles()) or real(prompts, *a, **k))
+    model = [("m", lambda prompt: '{"events":[{"event_name":"A"}]}')]
+    X.parse_new(ads, model, E.venue_dimension(spark), dt.date(2026, 1, 1), str(tmp_path)).collect()
+    assert asked and asked[0] and all("/prompts/" in f for f in asked[0])
