@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stallbook.checks import state_checks as SC
 from stallbook.operators import state as S
 from stallbook.plans import committed
-from stallbook.sources.commits import RunConflict, RunStore
+from stallbook.sources.commits import BUCKET_ROWS, RunConflict, RunStore, buckets_for
 
 SF_DIR = "/root/testdata/sf0.001"
 DAY = dt.timedelta(days=1)
@@ -125,3 +125,32 @@ def test_keyed_table_of_another_kind(spark, tmp_path):
     tx.update("prices", gone, lambda stored: stored.join(gone.select("k"), "k", "left_anti"))
     tx.commit()
     assert rows(store.read("prices")) == rows(changes.where("k <> 'a'"))
+
+
+def test_buckets_grow_with_the_table():
+    assert buckets_for(0, 16) == buckets_for(16 * BUCKET_ROWS, 16) == 16
+    for n in (17 * BUCKET_ROWS, 10**9):
+        assert -(-n // buckets_for(n, 16)) <= BUCKET_ROWS
+
+
+def test_dealt_rows_are_founded_without_a_second_shuffle(spark, tmp_path):
+    made = RunStore(spark, str(tmp_path / "store"), committed.KEYED, buckets=16)
+    found = S.last_wins(made.dealt("listings", SC.listings(spark, SF_DIR)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(listing_id") == 1 and "REPARTITION_BY_NUM" in plan
+    committed.found_tables(made, found, SC.review(spark, SF_DIR), S.conform(found).where("false"), placed=True)
+    assert len(files(made)) == 16
+    assert rows(made.read("listings").select("listing_id", "event_name")) == rows(S.last_wins(SC.listings(spark, SF_DIR)).select("listing_id", "event_name"))
+
+
+def test_committed_trash_writes_the_moved_rows_once(spark, tmp_path, monkeypatch):
+    made = RunStore(spark, str(tmp_path / "store"), committed.KEYED, buckets=4)
+    old = S.conform(SC.listings(spark, SF_DIR).where("listing_id IN ('11', '12', '21', '22')")).withColumn(
+        "event_name", F.when(F.col("listing_id") == "11", "Unbekannt").otherwise(F.col("event_name")))
+    committed.found_tables(made, S.last_wins(old.withColumn("seq", F.lit(1))), SC.review(spark, SF_DIR), old.where("false"))
+    paths, real = [], committed.materialise
+    monkeypatch.setattr(committed, "materialise", lambda df, path: paths.append(path) or real(df, path))
+    committed.committed_trash(made)
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["gone"]
+    kept, moved = ({r.listing_id for r in made.read(t).select("listing_id").collect()} for t in ("listings", "trash"))
+    assert "11" not in kept and moved <= {"11"} and not kept & moved
