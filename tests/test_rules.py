@@ -270,3 +270,22 @@ def test_absurd_numbers_are_missing_and_end_no_job(spark):
 
     row = spark.sql("SELECT 1e20D AS x").select(money(F.col("x")), fine(F.col("x")), half_even_text(F.col("x"))).first()
     assert tuple(row) == (None, None, None)
+
+
+def test_strip_is_unicode_white_space(spark):
+    from stallbook.functions.keys import strip
+
+    odd = spark.range(1, 0x3100)
+    c = F.udf(lambda i: chr(i) + " a" + chr(i) + "b\n" + chr(i), "string")("id")
+    texts = odd.select("id", c.alias("t"))
+    same = texts.where(strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))
+    assert same.collect() == []
+    assert "regexp" not in str(strip(F.col("t"))).lower()
+
+
+def test_only_texts_that_can_be_json_are_parsed(spark):
+    from stallbook.operators.responses import _maybe_json
+
+    texts = ["[1]", '{"a":1}', "[1] und", '{"events":[]} Ende', "kein Ergebnis", '"text"', "", None, "[1}", "7"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(_maybe_json("t").alias("j")).collect()
+    assert [r.j for r in got] == ["[1]", '{"a":1}'] + [None] * 8
