@@ -133,6 +133,11 @@ def test_buckets_grow_with_the_table():
         assert -(-n // buckets_for(n, 16)) <= BUCKET_ROWS
 
 
+def test_a_bucket_of_a_large_table_holds_few_rows():
+    for n in (600_000, 36_000_000, 216_000_000):
+        assert n / buckets_for(n, 16) <= 50_000
+
+
 def test_dealt_rows_are_founded_without_a_second_shuffle(spark, tmp_path):
     made = RunStore(spark, str(tmp_path / "store"), committed.KEYED, buckets=16)
     found = S.last_wins(made.dealt("listings", SC.listings(spark, SF_DIR)))
