@@ -90,6 +90,17 @@ def test_imatch_edges(edge, none):
     assert {r.fingerprint for r in rows if r.doc_id in (3, 4)} == {"-" * 8 * (1 + imatch.SUBSETS)}
 
 
+def test_texts_are_encoded_together(monkeypatch):
+    texts = ["Ein Wort, zwei Wörter!", "", "wort zwei cafe\u0301... \x1c x", "\u0301, <|x|>"] * 3
+    assert packing.WordIds(PATH).many(texts) == [packing.WordIds(PATH)(t) for t in texts]
+    calls = []
+    encode = packing.WordIds(PATH)
+    learn = encode._learn
+    monkeypatch.setattr(encode, "_learn", lambda missing: (calls.append(len(missing)), learn(missing)))
+    # a group of texts is one request to the tokenizer
+    assert [i for i, _ in packing._encoded([*range(12)], texts, encode)] == [*range(12)] and len(calls) == 1
+
+
 def test_packing_round_trip(edge, none):
     from tokenizers import Tokenizer
 
