@@ -289,3 +289,11 @@ def test_only_texts_that_can_be_json_are_parsed(spark):
     texts = ["[1]", '{"a":1}', "[1] und", '{"events":[]} Ende', "kein Ergebnis", '"text"', "", None, "[1}", "7"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(_maybe_json("t").alias("j")).collect()
     assert [r.j for r in got] == ["[1]", '{"a":1}'] + [None] * 8
+
+
+def test_event_key_collapses_every_white_space(spark):
+    """Names without white space to collapse skip the regular expression; all others have the key it gives."""
+    names = ["Süd Bühne", "A  B", " a", "a ", "Ab", "   "] + [f"X{w}Y" for w in keys.WHITE_SPACE] + [f"{w}X" for w in keys.WHITE_SPACE] + [f"X {w}y{w}" for w in keys.WHITE_SPACE]
+    whole = F.coalesce(F.lower(F.regexp_replace(keys.strip(F.col("s")), r"(?U)\s+", " ")), F.lit(""))
+    rows = [(n,) for n in names]
+    assert column(spark, keys.event_key(F.col("s")), "s string", *rows) == column(spark, whole, "s string", *rows)
