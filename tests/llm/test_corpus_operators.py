@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -414,3 +415,20 @@ def test_imatch_with_large_groups_of_copies(spark):
     assert got[0].fingerprint[:8] == "-" * 8 != got[0].fingerprint[8:16]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert imatch.lexicon(docs).count() == 60 + len({w for t in rest for w in t.split() if not w.endswith("x")})
+
+
+def test_a_kept_text_is_scored_from_its_own_column(spark):
+    """The text goes to the workers once; a NULL text is kept as NULL and scored as the empty text."""
+    fm = quality_fm.train([(*f, i % 2) for i, f in enumerate(quality_fm.features([b"gut und lang", b"x x x x", b""]))])
+    docs = spark.createDataFrame([(1, "de", "gut und lang"), (2, None, None), (3, "en", "")], "doc_id long, lang string, text string")
+    kept = quality_fm.score(docs, fm, kept=("doc_id", "text", "lang"))
+    assert kept.columns == ["doc_id", "text", "lang", "score", "predicted"] and "_text" not in kept._jdf.queryExecution().toString()
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert rows[2].text is None and rows[3].text == "" and rows[2].score == rows[3].score
+    assert {r.doc_id: r.score for r in quality_fm.score(docs, fm).collect()} == {k: r.score for k, r in rows.items()}
+
+
+def test_texts_are_held_by_bytes():
+    texts = ["a" * (quality_fm.BATCH_BYTES * 2), None, "b", "c" * quality_fm.BATCH_BYTES, "d"]
+    parts = list(quality_fm._texts(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), 0))
+    assert [(at, [len(t) for t in held]) for at, held in parts] == [(0, [len(texts[0])]), (1, [0, 1]), (3, [len(texts[3])]), (4, [1])]
