@@ -117,6 +117,28 @@ def test_large_buckets_lose_no_link(spark, monkeypatch, limit, rounds):
     assert joined(docs, 4, (85, 100)) == Counter((d, *c) for (d, _), c in zip(rows, components(rows, 4, (85, 100))))
 
 
+def test_near_copies_of_one_text_are_not_paired(spark, monkeypatch):
+    compared = []
+    compare = group_join._compared
+
+    def counted(pairs, classes, extra):
+        compared.append(pairs.count())
+        return compare(pairs, classes, extra)
+
+    monkeypatch.setattr(group_join, "_compared", counted)
+    rng = np.random.default_rng(3)
+    base, texts = [f"w{x}" for x in rng.integers(0, 50_000, 200)], []
+    for i in range(80):
+        own = list(base)
+        own[rng.integers(0, 200)] = f"e{i % 40}"
+        texts.append(own)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[2] for r in joined(docs, 4, (85, 100))} == {0}
+    # all pairs would be some 3000
+    assert sum(compared) < 4 * len(rows)
+
+
 def test_join_at_the_edges(edge, none):
     got = joined(edge, 4, (85, 100))
     assert got == Counter({
