@@ -2,6 +2,8 @@
 
 import datetime as dt
 import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import Window as W, functions as F
@@ -190,3 +192,15 @@ def test_adverts_are_put_together_once(spark, tmp_path, monkeypatch):
     model = [("m", lambda prompt: '{"events":[{"event_name":"A"}]}')]
     X.parse_new(ads, model, E.venue_dimension(spark), dt.date(2026, 1, 1), str(tmp_path)).collect()
     assert asked and asked[0] and all("/prompts/" in f for f in asked[0])
+
+
+def test_a_thread_takes_several_calls_at_once(spark):
+    def model(prompt):
+        time.sleep(0.001)
+        return f"{prompt} {threading.get_ident()}"
+
+    prompts = spark.createDataFrame([(str(i), f"p{i}") for i in range(1000)], "listing_id string, prompt string").coalesce(1)
+    rows = X.run_extractors(prompts, [("m", model)], threads=4).collect()
+    assert [r.raw.split()[0] for r in rows] == [f"p{i}" for i in range(1000)] and [r.listing_id for r in rows] == [str(i) for i in range(1000)]
+    by = [r.raw.split()[1] for r in rows]
+    assert len(set(by)) == 4 and sum(a != b for a, b in zip(by, by[1:])) < 50
