@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from stallbook import config
 from stallbook.operators import dashboard as B, enrich as E, extraction as X, matching as M, state as S
+from stallbook.plans import runs
 from stallbook.schemas import LISTING
 from stallbook.sources import tables as T
+from stallbook.sources.scratch import materialise
 from stallbook.streaming import jobs as J
 
 D = dt.date
@@ -36,6 +38,28 @@ def empty(spark):
     return spark.createDataFrame([], LISTING)
 
 
+def test_review_queue_of_a_run_reads_the_stored_merge(spark, monkeypatch, tmp_path):
+    plans = {}
+
+    def stored(df, path):
+        plans[path.rsplit("/", 1)[1]] = df._jdf.queryExecution().optimizedPlan().toString()
+        return materialise(df, path)
+
+    monkeypatch.setattr(runs, "materialise", stored)
+    queue = spark.createDataFrame([("b",)], "listing_id string")
+    table = scan(spark, empty(spark), [row("a", 90.0), row("d", 90.0)], D(2026, 4, 1)).table
+    table = table.unionByName(table)  # stored ids may repeat
+    events = [row("a", 80.0, 1), row("a", 70.0, 2, confidence="niedrig"), row("b", 50.0, confidence="niedrig"), row("c", 40.0), row("e", 30.0, confidence="niedrig")]
+    batch = spark.createDataFrame(events, BATCH)
+    done = runs.finish_run(table, batch, queue, table.where("false"), E.venue_dimension(spark), DAY, str(tmp_path))
+    assert "Window" in plans["listings"] and "Window" not in plans["review_added"]
+    want = scan(spark, table, events, DAY, queue)
+    got = done.review.where("listing_id <> 'b'").select(*want.review_added.columns)
+    assert sorted(got.collect()) == sorted(want.review_added.collect()) and {r.listing_id for r in got.collect()} == {"a", "e"}
+    assert sorted(done.listings.columns) == sorted(want.table.columns)
+    assert {(r.action, r.n) for r in done.counts.collect()} >= {("inserted", 3), ("updated", 2), ("review_added", 2)}
+
+
 def test_three_scans(spark):
     table = empty(spark)
     for week, total in enumerate((100.0, 90.0, 90.0)):
